@@ -30,6 +30,10 @@ def tuned(n: int, dim: int, threshold: float, recall: float = 0.9995, occupancy:
     pair at the threshold miss all common filters with probability 1 - recall. Inner products of unit vectors with a
     random direction count as normal with variance 1/dim.
     """
+    if n <= 64 * occupancy:
+        return -2.0, 1  # one filter that all pass
+    if dim < 24:
+        return _sampled(n, dim, threshold, recall, occupancy)
     share = min(0.02, max(1e-9, occupancy / max(n, 1)))
     lo, hi = 0.0, 40.0
     for _ in range(100):
@@ -45,6 +49,25 @@ def tuned(n: int, dim: int, threshold: float, recall: float = 0.9995, occupancy:
     return z / math.sqrt(dim), max(4, math.ceil(math.sqrt(1.25 * filters / share)))
 
 
+def _sampled(n: int, dim: int, threshold: float, recall: float, occupancy: int) -> tuple[float, int]:
+    """The same where a normal law is too far off: by drawing pairs at the threshold, and directions."""
+    rng = np.random.default_rng([1, dim])
+    share = max(2e-3, occupancy / n)
+    _, one, two = codes(dim, 64)
+    c = np.concatenate([np.repeat(one, 64, 0), np.tile(two, (64, 1))], 1) / math.sqrt(2) if dim > 1 else one
+    u, w = rng.normal(size=(2, 800, dim))
+    u /= np.linalg.norm(u, axis=1, keepdims=True)
+    w -= (w * u).sum(1, keepdims=True) * u
+    v = threshold * u + math.sqrt(1 - threshold**2) * w / np.maximum(np.linalg.norm(w, axis=1, keepdims=True), 1e-9)
+    a, b = u @ c.T, v @ c.T
+    for alpha in np.quantile(a, 1 - share * 2.0 ** np.arange(12)[share * 2.0 ** np.arange(12) < 0.9]):
+        # of directions drawn afresh, the worst drawn pairs decide
+        both = np.quantile(((a >= alpha) & (b >= alpha)).mean(1), 0.02)
+        if both > 0:
+            return float(alpha), max(4, math.ceil(math.sqrt(2 * math.log(1 / (1 - recall)) / both)))
+    return -2.0, 1
+
+
 def codes(dim: int, words: int, seed: int = 5) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """A rotation and the two codes; the same on every machine."""
     rng = np.random.default_rng([seed, dim, words])
