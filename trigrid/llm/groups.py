@@ -35,8 +35,8 @@ def block_pairs(members: DataFrame, block: int = BLOCK) -> DataFrame:
     )
 
 
-def units(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[pa.Table, np.ndarray]]:
-    """Batches sorted by (g, bi, bj) -> (table of whole units, starts of the units and the table's length)."""
+def units(batches: Iterator[pa.RecordBatch], by: tuple[str, ...] = ("g", "bi", "bj")) -> Iterator[tuple[pa.Table, np.ndarray]]:
+    """Batches sorted by the columns `by` -> (table of whole units, starts of the units and the table's length)."""
     held: list[pa.RecordBatch] = []
 
     def keys(t: pa.Table) -> np.ndarray:
@@ -44,7 +44,7 @@ def units(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[pa.Table, np.ndar
         new = np.ones(n, bool)
         if n:
             new[1:] = False
-            for c in ("g", "bi", "bj"):
+            for c in by:
                 x = t[c].combine_chunks()
                 x = x.chunk(0) if isinstance(x, pa.ChunkedArray) else x
                 new[1:] |= ~np.asarray(pa.compute.equal(x.slice(1), x.slice(0, n - 1)))
@@ -56,7 +56,7 @@ def units(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[pa.Table, np.ndar
         if not batch.num_rows:
             continue
         held.append(batch)
-        if len(held) > 1 and all(held[-1][c][0].equals(held[0][c][0]) and held[-1][c][-1].equals(held[0][c][0]) for c in ("g", "bi", "bj")):
+        if len(held) > 1 and all(held[-1][c][0].equals(held[0][c][0]) and held[-1][c][-1].equals(held[0][c][0]) for c in by):
             continue  # still inside the first unit
         t = pa.Table.from_batches(held).combine_chunks()
         starts = keys(t)

@@ -237,7 +237,8 @@ def exact_links(texts: DataFrame, n: int, threshold: float) -> tuple[DataFrame,
                 yield pa.RecordBatch.from_arrays([_take(nodes, np.arange(b - a)), _take(nodes, root), pa.array(unit_counts(links, u))], names=["src", "dst", "n"])
 
     work = dealt(block_pairs(texts).select("g", "bi", "bj", "own", "node", "copies", "text"))
-    out = materialise(work.mapInArrow(compare, "src binary, dst binary, n bigint"))
+    kind = texts.schema["node"].dataType.simpleString()
+    out = materialise(work.mapInArrow(compare, f"src {kind}, dst {kind}, n bigint"))
     return out.select("src", "dst"), out.groupBy(F.col("src").alias("node")).agg(F.sum("n").alias("links"))
 
 

@@ -12,7 +12,8 @@ import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
-_written: list[tuple[SparkSession, str]] = []
+_CLEAN = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+_written: dict[int, tuple[SparkSession, str, DataFrame]] = {}
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -28,18 +29,29 @@ def materialise(df: DataFrame) -> DataFrame:
     """Write df as Parquet to the shared folder and read it again."""
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/trigrid-scratch/{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    _written.append((spark, path))
-    return spark.read.schema(df.schema).parquet(path)
+    before = spark.conf.get(_CLEAN, None)
+    spark.conf.set(_CLEAN, "true")  # once the table is written nobody reads this write's shuffles again
+    try:
+        df.write.parquet(path)
+    finally:
+        spark.conf.unset(_CLEAN) if before is None else spark.conf.set(_CLEAN, before)
+    out = spark.read.schema(df.schema).parquet(path)
+    _written[id(out)] = (spark, path, out)
+    return out
+
+
+def drop(table: DataFrame) -> None:
+    """Delete a table that materialise() gave, once nothing will read it any more."""
+    spark, path, _ = _written.pop(id(table))
+    p = spark._jvm.org.apache.hadoop.fs.Path(path)
+    p.getFileSystem(spark._jsc.hadoopConfiguration()).delete(p, True)
 
 
 @atexit.register
 def _sweep() -> None:
-    for spark, path in _written:
+    for _, _, table in list(_written.values()):
         with contextlib.suppress(Exception):  # the session may be gone; the folder is the cluster's to sweep then
-            jvm = spark._jvm
-            p = jvm.org.apache.hadoop.fs.Path(path)
-            p.getFileSystem(spark._jsc.hadoopConfiguration()).delete(p, True)
+            drop(table)
 
 
 def shuffle_partitions(spark: SparkSession) -> int:
