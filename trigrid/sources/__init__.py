@@ -1,0 +1,38 @@
+"""Readers of points and shapes, and the writer of cell features."""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from ..functions.address import to_compact, to_path, unsigned
+
+LON, LAT = ("lon", "lng", "long", "longitude", "x"), ("lat", "latitude", "y")
+
+
+def points_csv(spark: SparkSession, path: str) -> DataFrame:
+    """A CSV with a header -> its columns with lon, lat (null if not numbers in range). Columns go by their usual
+    names, failing that the first two; longitudes wrap into [-180, 180)."""
+    t = spark.read.option("header", True).csv(path)
+    pick = lambda names, k: next((c for c in t.columns if c.strip().lower() in names), t.columns[k])
+    x = F.expr(f"try_cast(trim(`{pick(LON, 0)}`) AS double)")
+    y = F.expr(f"try_cast(trim(`{pick(LAT, 1)}`) AS double)")
+    ok = (F.abs(y) <= 90) & (F.abs(x) < float("inf"))
+    rest = [c for c in t.columns if c.lower() not in ("lon", "lat")]
+    return t.select(*[F.col(f"`{c}`") for c in rest], F.when(ok, F.pmod(x + 180, F.lit(360.0)) - 180).alias("lon"), F.when(ok, y).alias("lat"))
+
+
+def points_geojson(spark: SparkSession, path: str) -> DataFrame:
+    """Point and MultiPoint features -> (feature, lon, lat); other geometries give no rows."""
+    t = spark.read.text(path, wholetext=True)
+    f = F.from_json("value", "struct<features:array<struct<geometry:struct<type:string,coordinates:string>>>>")
+    t = t.select(F.posexplode(f["features"]).alias("feature", "f")).select("feature", F.col("f.geometry.type").alias("kind"), F.col("f.geometry.coordinates").alias("c"))
+    many = F.when(F.col("kind") == "Point", F.array(F.from_json("c", "array<double>"))).when(F.col("kind") == "MultiPoint", F.from_json("c", "array<array<double>>"))
+    return t.select("feature", F.explode(many).alias("p")).select("feature", F.col("p")[0].alias("lon"), F.col("p")[1].alias("lat"))
+
+
+def cell_features(cells: DataFrame, cell: str = "cell", ring: str = "ring") -> DataFrame:
+    """Cells with a closed ring (array of [lon, lat]) -> one GeoJSON feature a row, as text; addresses as strings."""
+    c = F.col(cell)
+    props = F.struct(to_compact(c).alias("id"), to_path(c).alias("path"), unsigned(c).alias("addr64"))
+    return cells.select(F.to_json(F.struct(F.lit("Feature").alias("type"), props.alias("properties"), F.struct(F.lit("Polygon").alias("type"), F.array(ring).alias("coordinates")).alias("geometry"))).alias("value"))

@@ -1,0 +1,17 @@
+"""Streaming forms: addresses are stateless, so they work on a stream as they are; here are the windowed counts."""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
+
+from ..functions.address import up
+from ..functions.geometry import cell_of
+
+
+def cell_counts(points: DataFrame, ts: str = "ts", lon: str = "lon", lat: str = "lat", value: str | None = None, level: int = 9, roll: int = 6, width: str = "1 hour", slide: str | None = None, late: str = "10 minutes") -> DataFrame:
+    """Counts (and sums) by window and cell, for streams (with a watermark) and tables alike."""
+    t = points.withWatermark(ts, late) if points.isStreaming else points
+    t = t.withColumn("cell", up(cell_of(F.col(lon), F.col(lat), level), roll))
+    g = t.groupBy(F.window(ts, width, slide) if slide else F.window(ts, width), "cell")
+    return g.agg(F.count("*").alias("n"), *([F.sum(value).alias("total")] if value else []))
