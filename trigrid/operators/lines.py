@@ -27,7 +27,7 @@ def segments(points: DataFrame, line: str, seq: list[str], lon: str = "lon", lat
     """Consecutive vertices: (line, segment from 0, lon, lat, lon2, lat2, km)."""
     w = Window.partitionBy(line).orderBy(*seq)
     t = points.select(line, F.row_number().over(w).alias("segment"), F.col(lon).alias("lon"), F.col(lat).alias("lat"), F.lead(lon).over(w).alias("lon2"), F.lead(lat).over(w).alias("lat2"))
-    return t.where("lon2 IS NOT NULL").withColumn("segment", F.col("segment") - 1).withColumn("km", great_circle_km("lon", "lat", "lon2", "lat2"))
+    return t.where("lon2 IS NOT NULL").withColumn("segment", F.col("segment") - 1).withColumn("km", F.when((F.col("lon") == F.col("lon2")) & (F.col("lat") == F.col("lat2")), 0.0).otherwise(great_circle_km("lon", "lat", "lon2", "lat2")))
 
 
 def samples(points: DataFrame, line: str, seq: list[str], step_km: float = 3.5) -> DataFrame:
