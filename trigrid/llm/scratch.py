@@ -47,6 +47,14 @@ def drop(table: DataFrame) -> None:
     p.getFileSystem(spark._jsc.hadoopConfiguration()).delete(p, True)
 
 
+def release(docs: DataFrame) -> None:
+    """Delete all tables that materialise() gave but those that docs reads."""
+    read = docs.inputFiles()
+    for _, path, table in list(_written.values()):
+        if not any(path.rpartition("/")[2] in f for f in read):
+            drop(table)
+
+
 @atexit.register
 def _sweep() -> None:
     for _, _, table in list(_written.values()):
