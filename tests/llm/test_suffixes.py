@@ -56,10 +56,10 @@ def test_anchors():
         by[i].add((p, x))
     for i, t in enumerate(texts):
         for w in range(len(t) - 199):
-            assert any(w <= p <= w + 184 for p, _ in by[i])
+            assert any(w <= p <= w + 136 for p, _ in by[i])
     for a in range(0, 20, 3):  # equal strings have equal anchors at equal offsets
         for w in range(60):
-            f = lambda i: {(p - 100 - w, x) for p, x in by[i] if 100 + w <= p <= 100 + w + 184}
+            f = lambda i: {(p - 100 - w, x) for p, x in by[i] if 100 + w <= p <= 100 + w + 136}
             assert f(a) & f(0)
 
 

@@ -1,6 +1,6 @@
 """Substring removal with a suffix array by two-stage sorting.
 
-Every string of `length` bytes contains an anchor: the place of its least 16-byte hash. Equal strings have equal
+Every string of `length` bytes contains an anchor: the place of the least hash of its grams (64 bytes for 200). Equal strings have equal
 anchors at equal offsets, so strings can only repeat inside the surroundings of anchors with equal hashes. Those
 surroundings are brought together, equal ones collapsed with their count, and the suffixes of the different ones are
 sorted in two stages: only suffixes smaller than their successors are sorted directly, the others are induced by
@@ -21,7 +21,7 @@ from pyspark.sql import types as T
 from .groups import block_pairs, dealt, units
 from .scratch import drop, materialise, without
 
-LENGTH, GRAM = 200, 16
+LENGTH = 200
 #: Bytes looked at in one go; longer texts are looked at in overlapping pieces.
 CHUNK = 1 << 20
 #: Never a byte of UTF-8.
@@ -34,10 +34,15 @@ def _mix(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(29))
 
 
-def gram_hashes(data: np.ndarray) -> np.ndarray:
-    """The hash of the GRAM bytes from each position; the last GRAM - 1 positions have none."""
+def gram_of(length: int) -> int:
+    """The largest power of two up to a third: long enough to be rare by chance, short enough for few anchors."""
+    return 1 << max(0, (length // 3).bit_length() - 1)
+
+
+def gram_hashes(data: np.ndarray, gram: int) -> np.ndarray:
+    """The hash of the gram from each position; the last gram - 1 positions have none."""
     h, width, base = data.astype(np.uint64) + np.uint64(1), 1, _B
-    while width < GRAM:
+    while width < gram:
         h = h[:-width] * base + h[width:]
         with np.errstate(over="ignore"):
             base = base * base
@@ -56,7 +61,7 @@ def least_in_windows(key: np.ndarray, width: int) -> np.ndarray:
 
 def anchors(texts: list[bytes], length: int = LENGTH) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Texts -> (text's number, place, hash) of the anchors of all strings of `length` bytes in them."""
-    of, at, hashes = [], [], []
+    of, at, hashes, gram = [], [], [], gram_of(length)
     pieces = [(i, w, min(len(t), w + CHUNK + length - 1)) for i, t in enumerate(texts) for w in range(0, len(t) - length + 1, CHUNK)]
     k = 0
     while k < len(pieces):
@@ -66,9 +71,9 @@ def anchors(texts: list[bytes], length: int = LENGTH) -> tuple[np.ndarray, np.nd
             k += 1
         now = pieces[first:k]
         data = np.frombuffer(b"".join(texts[i][a:b] for i, a, b in now), np.uint8)
-        h = gram_hashes(data)
+        h = gram_hashes(data, gram)
         key = (h & np.uint64(0xFFFFFFFF00000000)) | np.arange(len(h), dtype=np.uint64)
-        place = (least_in_windows(key, length - GRAM + 1) & np.uint64(0xFFFFFFFF)).astype(np.int64)
+        place = (least_in_windows(key, length - gram + 1) & np.uint64(0xFFFFFFFF)).astype(np.int64)
         begin = np.cumsum([0] + [b - a for _, a, b in now])
         ok = np.ones(len(place), bool)
         for s in begin[1:-1]:  # strings that would run from one piece into the next
@@ -89,7 +94,7 @@ def anchors(texts: list[bytes], length: int = LENGTH) -> tuple[np.ndarray, np.nd
 
 def surroundings(text: bytes, at: int, length: int = LENGTH) -> tuple[bytes, int]:
     """What strings of `length` bytes around the anchor can reach, and how much of it lies before the anchor."""
-    left = min(at, length - GRAM)
+    left = min(at, length - gram_of(length))
     return text[at - left : at + length], left
 
 
@@ -227,7 +232,7 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     carry = [c for c in (base.columns if carry is None else carry) if c.lower() not in OUT]
     text = F.encode(F.coalesce(F.col(text_col), F.lit("")), "UTF-8")
     mark = F.xxhash64(F.col(text_col))
-    reach = length - GRAM
+    reach = length - gram_of(length)
 
     def find(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         import xxhash
