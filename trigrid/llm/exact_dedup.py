@@ -17,7 +17,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .scratch import materialise, without
+from .scratch import lean, materialise, without
 
 SPACE = r"[\x20\x09-\x0D]+"
 OUT = ("keep_id", "group_size", "kept", "text_sha256")
@@ -38,7 +38,7 @@ def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
     empty texts are one group. Null identifiers come last: keep_id is null only if the whole group's are. An empty
     table gives an empty table. Columns named like an output give way to it. A task holds at most its own range.
     """
-    spark = docs.sparkSession
+    lean(docs.sparkSession)
     base = without(docs, *(c for c in OUT if c.lower() not in (id_col.lower(), text_col.lower())))
     carried = base.columns
     t = base.withColumns({"_tg_id": F.col(id_col), "_tg_norm": normalised(text_col)})

@@ -16,7 +16,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .scratch import without
+from .scratch import lean, without
 
 OUT = ("lang_pred", "score", "rejected")
 BUCKETS, DIM = 1 << 15, 16
@@ -144,13 +144,14 @@ def identify(docs: DataFrame, model: Model, text_col: str = "text") -> DataFrame
     under the model's threshold are rejected. Whole texts are read, whatever their length. Columns named like an
     output give way; an empty table gives an empty table; repeated rows get the same answers.
     """
+    lean(docs.sparkSession)
     base = without(docs, *OUT)
     names = base.columns
     schema = T.StructType([*base.schema.fields, T.StructField("lang_pred", T.StringType()), T.StructField("score", T.DoubleType()), T.StructField("rejected", T.BooleanType())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            texts, letters = batch["_tg_text"], np.asarray(batch["_tg_letter"])
+            texts, letters = batch[text_col], np.asarray(batch["_tg_letter"])
             pred, score, no = [], [], []
             for i in range(batch.num_rows):
                 if letters[i]:
@@ -165,7 +166,7 @@ def identify(docs: DataFrame, model: Model, text_col: str = "text") -> DataFrame
                     no.append(True)
             yield pa.RecordBatch.from_arrays([batch[c] for c in names] + [pa.array(pred, pa.string()), pa.array(score), pa.array(no)], names=schema.names)
 
-    t = base.withColumn("_tg_letter", F.coalesce(F.col(text_col).rlike(r"\p{L}"), F.lit(False))).withColumn("_tg_text", F.encode(text_col, "UTF-8"))
+    t = base.withColumn("_tg_letter", F.coalesce(F.col(text_col).rlike(r"\p{L}"), F.lit(False)))
     return t.mapInArrow(run, schema)
 
 

@@ -19,7 +19,7 @@ from pyspark.sql import functions as F
 from .caps import _take, unit_counts
 from .graph import components
 from .groups import block_pairs, dealt, forest, rows_of, units
-from .scratch import materialise, without
+from .scratch import lean, materialise, without
 
 N_GRAM, THRESHOLD, RECALL = 5, 0.8, 0.9999
 _SPACE = np.zeros(256, bool)
@@ -255,6 +255,7 @@ def jaccard_join(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     own identifier. Null identifiers count as larger than any other. Repeated rows are copies. An empty table gives an
     empty table; outputs replace columns named like them.
     """
+    lean(docs.sparkSession)
     bands, rows = banding(threshold, recall)
     base = without(docs, *OUT)
     carry = [c for c in (base.columns if carry is None else carry) if c.lower() not in OUT]

@@ -18,7 +18,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .scratch import materialise, without
+from .scratch import lean, materialise, without
 
 CAPACITY = 2048
 
@@ -108,6 +108,7 @@ def tokenise(docs: DataFrame, id_col: str, text_col: str, tokenizer: str, capaci
                         ids.append(x[a:b].tobytes())
                 yield pa.RecordBatch.from_arrays([part["_i"].take(pa.array(of, pa.int64())), pa.array(piece, pa.int32()), pa.array(start, pa.int64()), pa.array(length, pa.int64()), pa.array(ids, pa.binary())], names=[id_col, "piece", "start", "length", "ids"])
 
+    lean(docs.sparkSession)
     t = docs.select(F.col(id_col).alias("_i"), F.col(text_col).alias("_t"))
     kind = t.schema["_i"].dataType.simpleString()
     return t.mapInArrow(run, f"`{id_col}` {kind}, piece int, start bigint, length bigint, ids binary")

@@ -19,7 +19,7 @@ from pyspark.sql import types as T
 from .graph import components
 from .groups import units
 from .minhash import N_GRAM, THRESHOLD, _mix, banding, exact_links, word_hashes
-from .scratch import drop, materialise, shuffle_partitions, without
+from .scratch import drop, lean, materialise, shuffle_partitions, without
 from .suffixes import least_in_windows
 
 WINDOW, RECALL, HASHES = 24, 0.99, 12
@@ -120,6 +120,7 @@ def dedup_paragraphs(docs: DataFrame, id_col: str = "doc_id", text_col: str = "t
     empty table; outputs replace columns named like them.
     """
     bands, rows = banding(threshold, recall, HASHES)
+    lean(docs.sparkSession)
     base = without(docs, *OUT)
     carry = [c for c in (base.columns if carry is None else carry) if c.lower() not in OUT]
     text = F.encode(F.coalesce(F.col(text_col), F.lit("")), "UTF-8")

@@ -62,6 +62,17 @@ def _sweep() -> None:
             drop(table)
 
 
+#: Rows an Arrow batch may have where whole texts go to Python workers.
+ROWS_PER_BATCH = 1000
+
+
+def lean(spark: SparkSession) -> None:
+    """Bound the Arrow batches of this session, for workers that hold whole texts; a smaller bound stays."""
+    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if not 0 < int(spark.conf.get(key)) <= ROWS_PER_BATCH:
+        spark.conf.set(key, str(ROWS_PER_BATCH))
+
+
 def shuffle_partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 

@@ -19,7 +19,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from .groups import block_pairs, dealt, units
-from .scratch import drop, materialise, without
+from .scratch import drop, lean, materialise, without
 
 LENGTH = 200
 #: Bytes looked at in one go; longer texts are looked at in overlapping pieces.
@@ -228,6 +228,7 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     stay. Null identifiers are rows like any other. An empty table gives an empty table; outputs replace columns
     named like them.
     """
+    lean(docs.sparkSession)
     base = without(docs, *OUT)
     carry = [c for c in (base.columns if carry is None else carry) if c.lower() not in OUT]
     text = F.encode(F.coalesce(F.col(text_col), F.lit("")), "UTF-8")
