@@ -7,6 +7,29 @@ from pyspark.sql import functions as F
 
 from .ranges import interval_join
 
+# Settlement codes with their name, label, and class and name on the first level.
+SETTLEMENT = (
+    (30, "urban_centre", "Urban centre", 3, "urban_centre"),
+    (23, "dense_urban_cluster", "Dense urban cluster", 2, "urban_cluster"),
+    (22, "semi_dense_urban_cluster", "Semi-dense urban cluster", 2, "urban_cluster"),
+    (21, "suburban_or_peri_urban", "Suburban or peri-urban", 2, "urban_cluster"),
+    (13, "rural_cluster", "Rural cluster", 1, "rural_grid_cell"),
+    (12, "low_density_rural", "Low-density rural", 1, "rural_grid_cell"),
+    (11, "very_low_density_rural", "Very-low-density rural", 1, "rural_grid_cell"),
+    (10, "water", "Water", 1, "rural_grid_cell"),
+)
+SLOTS = (10, 11, 12, 13, 21, 22, 23, 30, 255)
+URBAN = (21, 22, 23, 30)
+NO_DATA = 255
+
+
+def settlement(t: DataFrame, slot: str) -> DataFrame:
+    """t with code, name, label, level1, level1_name and urban of a slot 0..8; null without data or slot."""
+    code = F.nullif(F.get(F.array(*[F.lit(c) for c in SLOTS]), F.col(slot).cast("int")), F.lit(NO_DATA))
+    dim = t.sparkSession.createDataFrame(list(SETTLEMENT), "_code int, name string, label string, level1 int, level1_name string")
+    t = t.withColumn("code", code).withColumn("urban", F.col("code").isin(*URBAN))
+    return t.join(F.broadcast(dim), F.col("code") == F.col("_code"), "left").drop("_code")  # eight rows, always
+
 
 def lookup(points: DataFrame, layer: DataFrame, key, mixed: DataFrame | None = None, threshold: float = 0.5) -> DataFrame:
     """points with state, kind, share and confidence.

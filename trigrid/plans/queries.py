@@ -7,7 +7,9 @@ from pyspark.sql import functions as F
 
 from ..functions import address as A
 from ..functions.geometry import cell_of, hex_of, rhombus_of, shape_of
-from ..operators import cover, lines, ranges, zones
+from ..functions.quadtree import quad_of
+from ..functions.rings import ring_of
+from ..operators import cover, lines, ranges, shapes, zones
 from ..streaming import cell_counts
 
 QUERIES: dict = {}
@@ -377,3 +379,77 @@ def bbox_cover_cells(spark, d):
 def windowed_cell_counts(spark, d):
     t = cell_counts(event_points(spark, d), value="value", width="1 day")
     return t.select(F.col("window.start").alias("from_ts"), A.unsigned("cell").alias("cell"), "n", "total")
+
+
+def _boxes(spark, d, size: float = 0.25) -> DataFrame:
+    """Boxes around suppliers' places, some across 180 degrees; no side passes through a point of the lattice."""
+    s = _read(spark, d, "supplier").select("s_suppkey", _lon("s_suppkey", 2654435761).alias("x"), _lat("s_suppkey", 40503, 7).alias("y"), (F.expr("s_suppkey % 8") * size + 0.50005).alias("h"))
+    west, east = F.col("x") - F.col("h"), F.col("x") + F.col("h")
+    return s.select("s_suppkey", F.when(west < -180, west + 360).otherwise(west).alias("west"), F.greatest(F.lit(-90.0), F.col("y") - F.col("h")).alias("south"), F.when(east > 180, east - 360).otherwise(east).alias("east"), F.least(F.lit(90.0), F.col("y") + F.col("h")).alias("north"))
+
+
+def _box_shapes(spark, d) -> DataFrame:
+    return _boxes(spark, d).select("s_suppkey", shapes.box_rings(F.col("west"), F.col("south"), F.col("east"), F.col("north")).alias("rings"))
+
+
+def _nations(spark, d) -> DataFrame:
+    """Nations as rectangles that tile the globe five by five, each a little smaller than its place."""
+    k = F.col("n_nationkey")
+    w, s = (k % 5).cast("double") * 72 - 180 + 0.013, F.floor(k / 5).cast("double") * 36 - 90 + 0.017
+    return _read(spark, d, "nation").where("n_nationkey BETWEEN 0 AND 24").select(k.alias("nation"), shapes.box_rings(w, s, w + 71.9, s + 35.9).alias("rings"))
+
+
+BOXES = """b AS (SELECT s_suppkey, CASE WHEN x - h < -180 THEN x - h + 360 ELSE x - h END AS west, greatest(-90, y - h) AS south, CASE WHEN x + h > 180 THEN x + h - 360 ELSE x + h END AS east, least(90, y + h) AS north FROM
+(SELECT s_suppkey, ((s_suppkey * 2654435761) % 3600001) / CAST(10000 AS DOUBLE) - 180 AS x, ((s_suppkey * 40503 + 7) % 1800001) / CAST(10000 AS DOUBLE) - 90 AS y, (s_suppkey % 8) * 0.25::DOUBLE + 0.50005::DOUBLE AS h FROM supplier))"""
+
+
+@query(f"""WITH p AS ({POINTS}), {BOXES} SELECT event_id, s_suppkey FROM p JOIN b ON lat BETWEEN south AND north AND CASE WHEN west <= east THEN lon BETWEEN west AND east ELSE lon >= west OR lon <= east END""")
+def points_in_shapes(spark, d):
+    return shapes.near_layer(event_points(spark, d).select("event_id", "lon", "lat"), _box_shapes(spark, d), 6, ("s_suppkey",)).select("event_id", "s_suppkey")
+
+
+@query()
+def shape_cover_cells(spark, d):
+    """Cells of level 7 that meet boxes around suppliers' places."""
+    return shapes.cover(_box_shapes(spark, d), 7, ("s_suppkey",)).select("s_suppkey", A.unsigned("cell").alias("cell"))
+
+
+@query()
+def shape_cover_ranges(spark, d):
+    """The same cover as merged subtree intervals, by shape."""
+    return ranges.cover_ranges(shapes.cover(_box_shapes(spark, d), 7, ("s_suppkey",)), "cell", ("s_suppkey",)).select("s_suppkey", "face", A.unsigned("lo").alias("lo"), A.unsigned("hi").alias("hi"))
+
+
+@query()
+def layer_classify(spark, d):
+    """Cells inside one nation at their coarsest level from 2 on, and the mixed ones of level 6."""
+    return shapes.classify(_nations(spark, d), 6, 2).select(A.unsigned("cell").alias("cell"), A.level_of("cell").alias("level"), "kind")
+
+
+@query()
+def border_shares(spark, d):
+    """Of each cell of level 5: the nation with most of it, its share and whether it has all."""
+    n = _nations(spark, d)
+    t = shapes.dominant(shapes.shares(shapes.cover(n, 5, ("nation",)), n, ("nation",)), "nation")
+    return t.select(A.unsigned("cell").alias("cell"), "nation", "kind", F.round("share", 6).alias("share"))
+
+
+@query()
+def cell_rings(spark, d):
+    t = measures(spark, d).select(A.up("cell", 5).alias("c")).distinct().withColumn("r", ring_of("c", precision=5))
+    return t.select(A.to_compact("c").alias("id"), F.col("r.pole").alias("pole"), F.size("r.ring").alias("n_points"), F.to_json("r.ring").alias("ring"))
+
+
+@query(f"""WITH p AS ({POINTS}), q AS (SELECT event_id, least(floor((lon + 180) / 360 * 4096), 4095)::BIGINT AS x, least(floor((lat + 90) / 180 * 4096), 4095)::BIGINT AS y FROM p)
+SELECT event_id, x, y, ((list_sum(list_transform(range(12), lambda i: (((x >> i) & 1) << (2 * i)) + (((y >> i) & 1) << (2 * i + 1))))::BIGINT << 35) | 12)::VARCHAR AS cell FROM q""")
+def quadtree_keys(spark, d):
+    q = event_points(spark, d).select("event_id", quad_of("lon", "lat", 12).alias("q"))
+    return q.select("event_id", "q.x", "q.y", A.unsigned("q.cell").alias("cell"))
+
+
+@query(f"""WITH {M}, z AS ({_runs_sql()}), j AS (SELECT o, k, CASE state WHEN 0 THEN 10 WHEN 1 THEN 11 WHEN 2 THEN 12 WHEN 3 THEN 13 WHEN 4 THEN 21 WHEN 5 THEN 22 WHEN 6 THEN 23 WHEN 7 THEN 30 WHEN 8 THEN 255 END AS code FROM m LEFT JOIN z ON (cell >> 47)::BIGINT >= start AND (cell >> 47)::BIGINT < stop)
+SELECT o, k, nullif(code, 255)::INT AS code, CASE code WHEN 30 THEN 'urban_centre' WHEN 23 THEN 'dense_urban_cluster' WHEN 22 THEN 'semi_dense_urban_cluster' WHEN 21 THEN 'suburban_or_peri_urban' WHEN 13 THEN 'rural_cluster' WHEN 12 THEN 'low_density_rural' WHEN 11 THEN 'very_low_density_rural' WHEN 10 THEN 'water' END AS name,
+CASE WHEN code = 255 THEN NULL WHEN code >= 30 THEN 3 WHEN code >= 21 THEN 2 WHEN code IS NOT NULL THEN 1 END::INT AS level1, CASE WHEN code <> 255 THEN code IN (21, 22, 23, 30) END AS urban FROM j""")
+def settlement_classes(spark, d):
+    t = zones.lookup(measures(spark, d), _runs(spark, d), A.index_at("cell", 6))
+    return zones.settlement(t, "state").select("o", "k", "code", "name", "level1", "urban")
