@@ -98,9 +98,10 @@ def surroundings(text: bytes, at: int, length: int = LENGTH) -> tuple[bytes, int
     return text[at - left : at + length], left
 
 
-def two_stage(data: np.ndarray, depth: int) -> tuple[np.ndarray, np.ndarray]:
+def two_stage(data: np.ndarray, depth: int, stop: int | None = None) -> tuple[np.ndarray, np.ndarray]:
     """Bytes -> (all suffixes in order of their first `depth` bytes, the number of the class of each in that order):
-    suffixes in one class have `depth` equal first bytes, or end and are alone."""
+    suffixes in one class have `depth` equal first bytes, or end and are alone. With stop, order and classes only hold
+    up to that byte: suffixes that have it among their first `depth` bytes are in order as far as it."""
     n = len(data)
     if not n:
         return np.zeros(0, np.int64), np.zeros(0, np.int64)
@@ -118,6 +119,8 @@ def two_stage(data: np.ndarray, depth: int) -> tuple[np.ndarray, np.ndarray]:
     total = np.concatenate([np.zeros(1, np.uint64), np.cumsum((wide[: n + depth].astype(np.uint64) + np.uint64(1)) * up[:-1], dtype=np.uint64)])
     inverse = np.multiply.accumulate(np.concatenate([[np.uint64(1)], np.full(n, pow(int(_B), -1, 1 << 64), np.uint64)]))
     whole = _mix((total[depth : depth + n] - total[:n]) * inverse[:n])
+    ends = np.append(np.flatnonzero(data == stop), n) if stop is not None else np.array([n + depth])
+    reach = ends[np.searchsorted(ends, np.arange(n))] - np.arange(n)
     # first stage
     s = np.flatnonzero(small)
     s = s[np.argsort(word[s], kind="stable")]
@@ -130,7 +133,7 @@ def two_stage(data: np.ndarray, depth: int) -> tuple[np.ndarray, np.ndarray]:
         start = np.flatnonzero(np.concatenate([[True], group[1:] != group[:-1]]))
         size = np.diff(np.append(start, len(group)))
         mixed = (np.minimum.reduceat(w, start) != np.maximum.reduceat(w, start)) & (size > 1)
-        keep = np.repeat(mixed, size)
+        keep = np.repeat(mixed, size) & (reach[s[open_]] >= at)
         open_, group = open_[keep], group[keep]
         if not len(open_):
             break
@@ -194,7 +197,7 @@ def repeats(blocks: list[bytes], left: list[int], unit: np.ndarray, length: int
     size = np.array([len(b) for b in blocks])
     begin = np.cumsum(np.concatenate([[0], size + 1]))
     data = np.frombuffer(bytes([END]).join(blocks) + bytes([END]), np.uint8)
-    sa, cls = two_stage(data, length)
+    sa, cls = two_stage(data, length, END)
     of = np.repeat(np.arange(len(blocks)), size + 1)[sa]
     offset = sa - begin[of]
     ok = offset + length <= size[of]
