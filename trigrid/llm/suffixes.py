@@ -23,7 +23,7 @@ from .scratch import drop, lean, materialise, without
 
 LENGTH = 200
 #: Bytes looked at in one go; longer texts are looked at in overlapping pieces.
-CHUNK = 1 << 20
+CHUNK = 1 << 17
 #: Never a byte of UTF-8.
 END = 0xFF
 _B = np.uint64(0x9E3779B97F4A7C15)
@@ -98,10 +98,22 @@ def surroundings(text: bytes, at: int, length: int = LENGTH) -> tuple[bytes, int
     return text[at - left : at + length], left
 
 
+def by_group(key: np.ndarray, group: np.ndarray) -> np.ndarray:
+    """The order by ascending group and, in each, key. Few groups are dealt by radix."""
+    order = np.argsort(key)
+    number = np.cumsum(np.concatenate([[0], group[1:] != group[:-1]])) if len(group) else group
+    return order[np.argsort(number[order].astype(np.uint16 if not len(number) or number[-1] < 1 << 16 else np.int64), kind="stable")]
+
+
+def unlike(x: np.ndarray, start: np.ndarray) -> np.ndarray:
+    """Which of the groups that begin at start have different entries."""
+    return np.minimum.reduceat(x, start) != np.maximum.reduceat(x, start)
+
+
 def two_stage(data: np.ndarray, depth: int, stop: int | None = None) -> tuple[np.ndarray, np.ndarray]:
     """Bytes -> (all suffixes in order of their first `depth` bytes, the number of the class of each in that order):
     suffixes in one class have `depth` equal first bytes, or end and are alone. With stop, order and classes only hold
-    up to that byte: suffixes that have it among their first `depth` bytes are in order as far as it."""
+    for suffixes without that byte among their first `depth` bytes; equal ones of these are neighbours."""
     n = len(data)
     if not n:
         return np.zeros(0, np.int64), np.zeros(0, np.int64)
@@ -121,25 +133,47 @@ def two_stage(data: np.ndarray, depth: int, stop: int | None = None) -> tuple[np
     whole = _mix((total[depth : depth + n] - total[:n]) * inverse[:n])
     ends = np.append(np.flatnonzero(data == stop), n) if stop is not None else np.array([n + depth])
     reach = ends[np.searchsorted(ends, np.arange(n))] - np.arange(n)
+    # Only suffixes that reach `depth` bytes before the stop count, and those that they follow in runs of larger ones:
+    # the others need a place after them, no order.
+    since = np.arange(n) - np.maximum.accumulate(np.where(small, np.arange(n), -1))
+    larger = np.concatenate([[0], since[:-1]])
+    vain = reach + larger < depth
     # first stage
     s = np.flatnonzero(small)
-    s = s[np.argsort(word[s], kind="stable")]
-    open_ = np.arange(len(s))
-    group = np.cumsum(np.concatenate([[0], word[s][1:] != word[s][:-1]])) if len(s) else np.zeros(0, np.int64)
-    for at in range(8, depth, 8):
+    s = s[np.argsort(word[s])]
+    head = np.cumsum(np.concatenate([[0], word[s][1:] != word[s][:-1]])) if len(s) else np.zeros(0, np.int64)
+    order = by_group(vain[s].astype(np.uint64), head)
+    s, head = s[order], head[order]
+    open_ = np.flatnonzero(~vain[s])
+    group = head[open_]
+    for _ in range(-(-depth // 8)):  # each round looks at a later word of each group
+        if not len(open_):
+            break
+        p = s[open_]
+        start = np.flatnonzero(np.concatenate([[True], group[1:] != group[:-1]]))
+        size = np.diff(np.append(start, len(group)))
+        keep = np.repeat((size > 1) & unlike(whole[p], start), size)
+        open_ = open_[keep]
         if not len(open_):
             break
-        w = whole[s[open_]]
+        p, group = s[open_], group[keep]
         start = np.flatnonzero(np.concatenate([[True], group[1:] != group[:-1]]))
         size = np.diff(np.append(start, len(group)))
-        mixed = (np.minimum.reduceat(w, start) != np.maximum.reduceat(w, start)) & (size > 1)
-        keep = np.repeat(mixed, size) & (reach[s[open_]] >= at)
-        open_, group = open_[keep], group[keep]
+        # how many words all of a group have in common, by bisection
+        known, least = np.ones(len(start), np.int64), total[p]
+        other = np.full(len(start), (depth - 1) // 8 + 1)
+        while (other - known > 1).any():
+            half = np.where(other - known > 1, (known + other) // 2, known)
+            differ = unlike((total[p + np.repeat(8 * half, size)] - least) * inverse[p], start)
+            known, other = np.where(differ, known, half), np.where(differ & (half > known), half, other)
+        keep = reach[p] >= np.repeat(8 * known, size)
+        at = np.repeat(8 * known, size)[keep]
+        open_, p, group = open_[keep], p[keep], group[keep]
         if not len(open_):
             break
-        key = word[s[open_] + at]
-        order = np.lexsort((key, group))
-        s[open_] = s[open_][order]
+        key = word[p + at]
+        order = by_group(key, group)
+        s[open_] = p[order]
         key = key[order]
         group = np.cumsum(np.concatenate([[0], (group[1:] != group[:-1]) | (key[1:] != key[:-1])]))
     # second stage
@@ -203,6 +237,8 @@ def repeats(blocks: list[bytes], left: list[int], unit: np.ndarray, length: int
     ok = offset + length <= size[of]
     sa, cls, of, offset = sa[ok], cls[ok], of[ok], offset[ok]
     relative = offset - np.array(left)[of]
+    again = np.flatnonzero(np.bincount(cls)[cls] > 1) if len(cls) else cls
+    cls, of, relative = cls[again], of[again], relative[again]
     order = np.lexsort((relative, unit[of], cls))
     key = np.stack([cls[order], unit[of][order], relative[order]])
     new = np.concatenate([[True], (key[:, 1:] != key[:, :-1]).any(0)]) if len(order) else np.zeros(0, bool)
@@ -284,9 +320,9 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     def sort(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for t, starts in units(batches):
             k = 0
-            while k < len(starts) - 1:  # as many units as make a few MB, at least one
+            while k < len(starts) - 1:  # as many units as fit a processor's cache, at least one
                 end = k + 1
-                while end < len(starts) - 1 and (starts[end + 1] - starts[k]) * 2 * length <= 2 * CHUNK:
+                while end < len(starts) - 1 and (starts[end + 1] - starts[k]) * 2 * length <= CHUNK:
                     end += 1
                 u = t.slice(starts[k], starts[end] - starts[k])
                 unit = np.repeat(np.arange(end - k), np.diff(starts[k : end + 1]))
