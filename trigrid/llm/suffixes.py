@@ -14,7 +14,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -98,6 +98,22 @@ def surroundings(text: bytes, at: int, length: int = LENGTH) -> tuple[bytes, int
     return text[at - left : at + length], left
 
 
+#: Parts that the strings around an anchor are dealt to by where they begin.
+PARTS = 4
+
+
+def parted(text: bytes, at: int, length: int = LENGTH, parts: int = PARTS) -> Iterator[tuple[int, bytes, int, bytes]]:
+    """The surroundings of an anchor -> (number, what all strings of the part share, how much of the part lies before
+    the anchor, the part). A part holds the strings that begin in one stretch; equal ones have equal shared bytes."""
+    reach = length - gram_of(length)
+    width = -(-(reach + 1) // parts)
+    for k, first in enumerate(range(-reach, 1, width)):
+        last = min(0, first + width - 1)
+        a, b = max(0, at + first), min(len(text), at + last + length)
+        if b - a >= length:
+            yield k, text[at + last : at + first + length], at - a, text[a:b]
+
+
 def by_group(key: np.ndarray, group: np.ndarray) -> np.ndarray:
     """The order by ascending group and, in each, key. Few groups are dealt by radix."""
     order = np.argsort(key)
@@ -255,6 +271,17 @@ def repeats(blocks: list[bytes], left: list[int], unit: np.ndarray, length: int
     return out
 
 
+def joined(runs: Column) -> Column:
+    """Runs (a, b) in order -> those that overlap or touch as one."""
+
+    def add(done: Column, r: Column) -> Column:
+        last = F.get(done, F.size(done) - 1)
+        longer = F.concat(F.slice(done, F.lit(1), F.size(done) - 1), F.array(F.struct(last["a"].alias("a"), F.greatest(last["b"], r["b"]).alias("b"))))
+        return F.when((F.size(done) > 0) & (last["b"] >= r["a"]), longer).otherwise(F.concat(done, F.array(r)))
+
+    return F.aggregate(runs, F.array().cast("array<struct<a:bigint,b:bigint>>"), add)
+
+
 OUT = ("spans", "kept_bytes")
 
 
@@ -296,26 +323,34 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     drop(found)
     # the different surroundings of an anchor, with how often each is there and where one is
     one = materialise(hits.where("mixed").groupBy("h", "around").agg(F.count("*").alias("many"), F.min(F.struct("id", "mark", "at")).alias("w")))
-    of_anchor = one.groupBy("h").agg(F.count("*").alias("n"))
-    want = one.join(of_anchor, "h").groupBy(F.col("w.id").alias("w_id"), F.col("w.mark").alias("w_mark")).agg(F.collect_list(F.struct("h", "around", F.col("w.at").alias("at"), "n")).alias("places"))
+    want = one.groupBy(F.col("w.id").alias("w_id"), F.col("w.mark").alias("w_mark")).agg(F.collect_list(F.struct("h", "around", F.col("w.at").alias("at"))).alias("places"))
     met = src.join(want, src["id"].eqNullSafe(want["w_id"]) & (src["mark"] == want["w_mark"])).select("t", "places")
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        import xxhash
+
         for batch in batches:
-            for lo in range(0, batch.num_rows, 256):
-                part = batch.slice(lo, 256)
-                g, node, n, left, block = [], [], [], [], []
+            for lo in range(0, batch.num_rows, 64):
+                part = batch.slice(lo, 64)
+                g, node, h, around, left, block = [], [], [], [], [], []
                 for t, places in zip(part["t"].to_pylist(), part["places"].to_pylist(), strict=True):
                     for p in places:
-                        b, k = surroundings(t, p["at"], length)
-                        g.append(p["h"])
-                        node.append(p["around"])
-                        n.append(p["n"])
-                        left.append(k)
-                        block.append(b)
-                yield pa.RecordBatch.from_arrays([pa.array(g, pa.int64()), pa.array(node, pa.int64()), pa.array(n, pa.int64()), pa.array(left, pa.int32()), pa.array(block, pa.binary())], names=["g", "node", "n", "left", "block"])
-
-    blocks = block_pairs(met.mapInArrow(cut, "g bigint, node bigint, n bigint, left int, block binary"))
+                        for k, shared, before, piece in parted(t, p["at"], length):
+                            g.append(xxhash.xxh3_64_intdigest(shared, seed=(p["h"] + k) % (1 << 64)))
+                            node.append(xxhash.xxh3_64_intdigest(piece, seed=before))
+                            h.append(p["h"])
+                            around.append(p["around"])
+                            left.append(before)
+                            block.append(piece)
+                yield pa.RecordBatch.from_arrays([pa.array(np.array(g, np.uint64).view(np.int64)), pa.array(np.array(node, np.uint64).view(np.int64)), pa.array(h, pa.int64()), pa.array(around, pa.int64()), pa.array(left, pa.int32()), pa.array(block, pa.binary())], names=["g", "node", "h", "around", "left", "block"])
+
+    # their parts: those that another one has as a whole repeat; different ones with the same shared bytes are sorted
+    parts = materialise(met.mapInArrow(cut, "g bigint, node bigint, h bigint, around bigint, left int, block binary"))
+    nodes = materialise(parts.groupBy("g", "node").agg(F.min("around").alias("lo"), F.max("around").alias("hi")))
+    groups = nodes.groupBy("g").agg(F.count("*").alias("n")).where("n > 1")
+    first = nodes.join(groups, "g").select(F.col("g").alias("g2"), F.col("node").alias("node2"), "lo", "n")
+    met_parts = parts.join(first, (F.col("g") == F.col("g2")) & (F.col("node") == F.col("node2")) & (F.col("around") == F.col("lo")))
+    blocks = block_pairs(met_parts.select("g", "node", "n", "left", "block"))
 
     def sort(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for t, starts in units(batches):
@@ -333,17 +368,21 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
                 got = repeats(u["block"].to_pylist(), u["left"].to_pylist(), unit, length)
                 of = np.repeat(np.arange(len(got)), [len(x) for x in got])
                 spans = np.array([s for x in got for s in x], np.int64).reshape(-1, 2)
-                yield pa.RecordBatch.from_arrays([pa.array(np.asarray(u["g"].combine_chunks())[of]), pa.array(np.asarray(u["node"].combine_chunks())[of]), pa.array(spans[:, 0]), pa.array(spans[:, 1])], names=["h", "around", "a", "b"])
+                yield pa.RecordBatch.from_arrays([pa.array(np.asarray(u["g"].combine_chunks())[of]), pa.array(np.asarray(u["node"].combine_chunks())[of]), pa.array(spans[:, 0]), pa.array(spans[:, 1])], names=["g", "node", "a", "b"])
                 k = end
 
-    partly = materialise(dealt(blocks.select("g", "bi", "bj", "node", "left", "block")).mapInArrow(sort, "h bigint, around bigint, a bigint, b bigint"))
-    # surroundings that are there twice repeat as a whole; others where a neighbour in the order says so
+    partly = materialise(dealt(blocks.select("g", "bi", "bj", "node", "left", "block")).mapInArrow(sort, "g bigint, node bigint, a bigint, b bigint").distinct())
+    as_whole = parts.join(nodes.where("lo <> hi").select(F.col("g").alias("g2"), F.col("node").alias("node2")), (F.col("g") == F.col("g2")) & (F.col("node") == F.col("node2")))
+    as_whole = as_whole.select("h", "around", (-F.col("left")).cast("long").alias("a"), (F.octet_length("block") - F.col("left")).cast("long").alias("b"))
+    in_part = parts.join(partly.select(F.col("g").alias("g3"), F.col("node").alias("node3"), "a", "b"), (F.col("g") == F.col("g3")) & (F.col("node") == F.col("node3"))).select("h", "around", "a", "b")
+    runs = as_whole.unionByName(in_part).groupBy("h", "around").agg(joined(F.array_sort(F.collect_set(F.struct("a", "b")))).alias("rs"))
+    # surroundings that are there twice repeat as a whole; others where a part or a neighbour in the order says so
     twice = one.where("many > 1").select(F.col("h").alias("h2"), F.col("around").alias("a2"))
     whole = hits.join(twice, (F.col("h") == F.col("h2")) & (F.col("around") == F.col("a2")), "left").where("NOT mixed OR h2 IS NOT NULL")
-    whole = whole.select("id", "mark", F.greatest(F.col("at") - reach, F.lit(0)).alias("a"), F.least(F.col("at") + length, "size").alias("b"))
-    some = hits.where("mixed").select("id", "mark", "h", "around", "at").join(partly.select(F.col("h").alias("h3"), F.col("around").alias("a3"), "a", "b").distinct(), (F.col("h") == F.col("h3")) & (F.col("around") == F.col("a3")))
-    some = some.select("id", "mark", (F.col("at") + F.col("a")).alias("a"), (F.col("at") + F.col("b")).alias("b"))
-    spans = whole.unionByName(some).groupBy("id", "mark").agg(F.array_sort(F.collect_set(F.struct("a", "b"))).alias("runs"))
+    whole = whole.select("id", "mark", F.array(F.struct(F.greatest(F.col("at") - reach, F.lit(0)).alias("a"), F.least(F.col("at") + length, "size").alias("b"))).alias("rs"))
+    some = hits.where("mixed").select("id", "mark", "h", "around", "at").join(runs.select(F.col("h").alias("h3"), F.col("around").alias("a3"), "rs"), (F.col("h") == F.col("h3")) & (F.col("around") == F.col("a3")))
+    some = some.select("id", "mark", F.transform("rs", lambda r: F.struct((F.col("at") + r["a"]).alias("a"), (F.col("at") + r["b"]).alias("b"))).alias("rs"))
+    spans = whole.unionByName(some).groupBy("id", "mark").agg(F.array_sort(F.flatten(F.collect_set("rs"))).alias("runs"))
     spans = materialise(spans.select(F.col("id").alias("s_id"), F.col("mark").alias("s_mark"), "runs"))
     own = {f"_tg_c{k}": base[f"`{c}`"] for k, c in enumerate(carry)}
     full = base.select(*[c.alias(k) for k, c in own.items()], F.col(id_col).alias("id"), mark.alias("mark"), text.alias("t"))
@@ -354,14 +393,19 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     def clip(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             out, rest = [], []
-            for t, runs in zip(batch["t"], batch["runs"], strict=True):
+            runs = batch["runs"]
+            n = runs.value_lengths().fill_null(0).to_pylist()
+            begin, end = (runs.flatten().field(k).to_pylist() for k in (0, 1))
+            k = 0
+            for t, many in zip(batch["t"], n, strict=True):
                 t = t.as_buffer().to_pybytes()
                 merged: list[list[int]] = []
-                for r in runs.as_py() or ():
-                    if merged and r["a"] <= merged[-1][1]:
-                        merged[-1][1] = max(merged[-1][1], r["b"])
+                for a, b in zip(begin[k : k + many], end[k : k + many], strict=True):
+                    if merged and a <= merged[-1][1]:
+                        merged[-1][1] = max(merged[-1][1], b)
                     else:
-                        merged.append([r["a"], r["b"]])
+                        merged.append([a, b])
+                k += many
                 at, kept = 0, []
                 for a, b in merged:
                     kept.append(t[at:a])
