@@ -318,7 +318,8 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     id_type = src.schema["id"].dataType
     place = T.StructType([T.StructField("id", id_type), *(T.StructField(c, T.LongType()) for c in ("mark", "h", "around", "at", "size"))])
     found = materialise(src.mapInArrow(find, place))
-    shared = found.groupBy("h").agg(F.count("*").alias("n"), (F.min("around") != F.max("around")).alias("mixed")).where("n > 1").drop("n")
+    # written, so that Spark can split what one anchor brings to the join
+    shared = materialise(found.groupBy("h").agg(F.count("*").alias("n"), (F.min("around") != F.max("around")).alias("mixed")).where("n > 1").drop("n"))
     hits = materialise(found.join(shared, "h"))
     drop(found)
     # the different surroundings of an anchor, with how often each is there and where one is
@@ -347,7 +348,7 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     # their parts: those that another one has as a whole repeat; different ones with the same shared bytes are sorted
     parts = materialise(met.mapInArrow(cut, "g bigint, node bigint, h bigint, around bigint, left int, block binary"))
     nodes = materialise(parts.groupBy("g", "node").agg(F.min("around").alias("lo"), F.max("around").alias("hi")))
-    groups = nodes.groupBy("g").agg(F.count("*").alias("n")).where("n > 1")
+    groups = materialise(nodes.groupBy("g").agg(F.count("*").alias("n")).where("n > 1"))
     first = nodes.join(groups, "g").select(F.col("g").alias("g2"), F.col("node").alias("node2"), "lo", "n")
     met_parts = parts.join(first, (F.col("g") == F.col("g2")) & (F.col("node") == F.col("node2")) & (F.col("around") == F.col("lo")))
     blocks = block_pairs(met_parts.select("g", "node", "n", "left", "block"))
