@@ -7,9 +7,11 @@ from pyspark.sql import functions as F
 
 from ..functions import address as A
 from ..functions.geometry import cell_of, hex_of, rhombus_of, shape_of
+from ..functions.cube import quad_cell_of, quad_level, quad_up
 from ..functions.quadtree import quad_of
+from ..functions.rhombi import rhombus_parts
 from ..functions.rings import ring_of
-from ..operators import cover, lines, ranges, shapes, zones
+from ..operators import cover, dissolve, lines, ranges, refine, shapes, zones
 from ..streaming import cell_counts
 
 QUERIES: dict = {}
@@ -453,3 +455,49 @@ CASE WHEN code = 255 THEN NULL WHEN code >= 30 THEN 3 WHEN code >= 21 THEN 2 WHE
 def settlement_classes(spark, d):
     t = zones.lookup(measures(spark, d), _runs(spark, d), A.index_at("cell", 6))
     return zones.settlement(t, "state").select("o", "k", "code", "name", "level1", "urban")
+
+
+@query(f"""WITH {M} SELECT DISTINCT cell::VARCHAR AS cell, true AS found, 2 AS n FROM m""")
+def rhombus_decode(spark, d):
+    """Each cell's rhombus key, decoded again: whether the cell is one of its two triangles."""
+    t = measures(spark, d).select("cell").distinct().withColumn("r", rhombus_parts(rhombus_of("cell")["key"]))
+    return t.select(A.unsigned("cell").alias("cell"), F.array_contains("r.cells", F.col("cell")).alias("found"), F.size("r.cells").alias("n"))
+
+
+def _areas(spark, d) -> DataFrame:
+    t = measures(spark, d).select(A.up("cell", 6).alias("cell")).distinct()
+    return t.withColumns({"area_km2": shape_of("cell")["area_km2"], "pole": ring_of("cell")["pole"], "interior": A.digit_at("cell", 6) == 3})
+
+
+@query()
+def rhombus_dissolve(spark, d):
+    """Level-6 cells merged by rhombus, with outlines."""
+    t = dissolve.by_rhombus(_areas(spark, d), interior="interior", area="area_km2", pole="pole")
+    return t.select(F.col("key").cast("string").alias("rhombus"), "n_cells", "interior", F.round("area", 3).alias("area_km2"), "pole", F.size("rings").alias("n_rings"))
+
+
+@query()
+def hex_dissolve(spark, d):
+    """Level-6 cells merged by hexagonal group, with outlines."""
+    t = dissolve.by_hex(_areas(spark, d), interior="interior", area="area_km2", pole="pole")
+    return t.select(F.col("key").alias("hex"), "n_cells", "interior", F.round("area", 3).alias("area_km2"), "pole", F.size("rings").alias("n_rings"))
+
+
+@query(f"""WITH p AS ({POINTS}) SELECT event_id, 12 AS level, true AS nested FROM p""")
+def cube_cells(spark, d):
+    """Events in level-12 cells of the cube: their ancestor at 6 is the cell that location at 6 gives."""
+    t = event_points(spark, d).select("event_id", quad_cell_of("lon", "lat", 12).alias("c"), quad_cell_of("lon", "lat", 6).alias("p"))
+    return t.select("event_id", quad_level("c").alias("level"), (quad_up("c", 6) == F.col("p")).alias("nested"))
+
+
+@query(f"""WITH p AS ({POINTS}), n AS (SELECT n_nationkey AS nation, (n_nationkey % 5)::DOUBLE * 72 - 180 + 0.013::DOUBLE AS w, floor(n_nationkey / 5)::DOUBLE * 36 - 90 + 0.017::DOUBLE AS s FROM nation WHERE n_nationkey BETWEEN 0 AND 24)
+SELECT event_id, nation FROM p LEFT JOIN n ON lon BETWEEN w AND w + 71.9::DOUBLE AND lat BETWEEN s AND s + 35.9::DOUBLE""")
+def refined_lookup(spark, d):
+    """The nation of each event: by the cells of level 6 inside one, and by refinement in the mixed ones."""
+    n = _nations(spark, d)
+    cells = shapes.cover(n, 6, ("nation",))
+    mixed = shapes.classify(n, 6, 6).where("kind = 'mixed'").select("cell")
+    whole = cells.join(mixed, "cell", "left_anti").select(F.col("cell").alias("_whole"), F.col("nation").alias("_nation"))
+    p = event_points(spark, d).select("event_id", "lon", "lat", cell_of("lon", "lat", 6).alias("cell"))
+    t = refine.refined(p, refine.refinement(cells.join(mixed, "cell", "left_semi"), n, "nation"), "nation")
+    return t.join(whole, F.col("cell") == F.col("_whole"), "left").select("event_id", F.coalesce("nation", "_nation").alias("nation"))
