@@ -2,7 +2,8 @@
 
 Every string of `length` bytes contains an anchor: the place of the least hash of its grams (64 bytes for 200). Equal strings have equal
 anchors at equal offsets, so strings can only repeat inside the surroundings of anchors with equal hashes. Those
-surroundings are brought together, equal ones collapsed with their count, and the suffixes of the different ones are
+surroundings are brought together and equal ones collapsed with their count. The strings of different ones are dealt to
+parts by where they begin; parts that share the bytes which all their strings have in common meet, and their suffixes are
 sorted in two stages: only suffixes smaller than their successors are sorted directly, the others are induced by
 scanning the buckets of first bytes in order. Neighbours with a common prefix of `length` bytes, at the same offset
 from their anchor, are repeats.
