@@ -11,7 +11,7 @@ from ..functions.cube import quad_cell_of, quad_level, quad_up
 from ..functions.quadtree import quad_of
 from ..functions.rhombi import rhombus_parts
 from ..functions.rings import ring_of
-from ..operators import cover, dissolve, lines, ranges, refine, shapes, zones
+from ..operators import cover, dissolve, lines, ranges, raster, refine, shapes, zones
 from ..streaming import cell_counts
 
 QUERIES: dict = {}
@@ -501,3 +501,17 @@ def refined_lookup(spark, d):
     p = event_points(spark, d).select("event_id", "lon", "lat", cell_of("lon", "lat", 6).alias("cell"))
     t = refine.refined(p, refine.refinement(cells.join(mixed, "cell", "left_semi"), n, "nation"), "nation")
     return t.join(whole, F.col("cell") == F.col("_whole"), "left").select("event_id", F.coalesce("nation", "_nation").alias("nation"))
+
+
+_CODES = ", ".join(map(str, zones.SLOTS))
+
+
+@query(f"""WITH {M}, a AS (SELECT cell >> 51 AS place, [{_CODES}][(p % 9 + 1)::INT] AS code, sum(v) / 1048576::DOUBLE AS share FROM m GROUP BY ALL),
+r AS (SELECT *, row_number() OVER (PARTITION BY place ORDER BY share DESC, code <> 255 DESC, code DESC) AS k, count(*) OVER (PARTITION BY place) AS n,
+bool_or(code = 10) OVER (PARTITION BY place) AS w, bool_or(code = 255) OVER (PARTITION BY place) AS z, bool_or(code NOT IN (10, 255)) OVER (PARTITION BY place) AS l FROM a)
+SELECT place::BIGINT AS place, code, share, n > 1 AS mixed, w AND l AS water_mix, z AND (w OR l) AS nodata_mix FROM r WHERE k = 1""")
+def raster_classes(spark, d):
+    """The class with most of each level-4 cell, and whether it shares the cell with water or nothing."""
+    t = measures(spark, d).select(A.up("cell", 4).alias("cell"), F.element_at(F.array(*[F.lit(c) for c in zones.SLOTS]), (F.col("p") % 9 + 1).cast("int")).alias("code"), (F.col("v") / 1048576).alias("share"))
+    r = raster.transferred(t)
+    return r.select(A.index_at("cell", 4).alias("place"), "code", "share", "mixed", "water_mix", "nodata_mix")
