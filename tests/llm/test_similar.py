@@ -4,7 +4,7 @@ import numpy as np
 
 from tests.llm.helpers import EDGE, classes, edge, grams, none
 from trigrid.llm import minhash
-from trigrid.llm.caps import decode, codes, near_vectors, op1_embedding_near_dedup, tuned
+from trigrid.llm.caps import decode, codes, near_vectors, op1_embedding_near_dedup, settled, tuned
 from trigrid.llm.graph import components
 from trigrid.llm.groups import forest
 from trigrid.llm.minhash import banding, jaccard_join, op9_ngram_jaccard_join, shingles
@@ -108,6 +108,26 @@ def test_decode():
     assert 0.2 < alpha < 0.6 and words < 1000
 
 
+def test_planted_pairs(spark):
+    """Pairs at 0.90 to 0.99 among more vectors than one filter holds, by default settings."""
+    rng = np.random.default_rng(11)
+    unit = lambda x: x / np.linalg.norm(x, axis=1, keepdims=True)
+    u, w = unit(rng.normal(size=(1000, 64))), rng.normal(size=(1000, 64))
+    u[:300, :32] *= 0.2  # lopsided in the axes as given
+    u = unit(u)
+    w = unit(w - (w * u).sum(1, keepdims=True) * u)
+    cos = np.repeat([0.9005, 0.93, 0.96, 0.99], 250)[rng.permutation(1000)][:, None]
+    x = np.concatenate([u, cos * u + np.sqrt(1 - cos**2) * w])
+    hit = x @ x.T >= 0.9
+    assert hit.sum() >= 4000
+    got = {r["vec_id"]: r for r in near_vectors(spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "vec_id long, embedding array<double>")).collect()}
+    big = classes(2000, np.argwhere(hit).tolist())
+    lost = sum((got[i]["component_id"], got[i]["n_links"]) != (big[i], hit[i].sum() - 1) for i in range(2000))
+    assert lost <= 4, lost  # two pairs of 1000 at recall 0.9995 or better
+    alpha, words, seeds = settled(50_000, 64, 0.9)
+    assert len(seeds) > 1 and min(sum(map(len, f)) for f in zip(*[decode(x, alpha, words, s) for s in seeds])) > 0
+
+
 def test_shingles():
     texts = [b"", b"a b c d e f", b"  a b c d\te  ", b"a b", b" \n ", b"a b", b"b c d e f", "é é é é é é é".encode()]
     g, at = shingles(texts)

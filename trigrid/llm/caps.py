@@ -2,14 +2,18 @@
 
 A filter is a unit direction; a vector passes those with which its inner product exceeds alpha. Directions are all
 pairs from two random codes on the halves of the (randomly rotated) space, so a vector's list of filters is decoded
-from two short lists of inner products, without visiting the other filters. Vectors that share a filter are compared
-exactly; links leave a task as a forest. Within each class so found all links are then counted exactly.
+from two short lists of inner products, without visiting the other filters. How a vector's mass falls on the halves
+decides how many filters it passes, so there are several independent rotations with codes of their own: turned at
+random, each pair is as any other, and their number follows from the share of drawn pairs that each one misses. Vectors
+that share a filter are compared exactly; links leave a task as a forest. Within each class so found all links are then
+counted exactly.
 """
 
 from __future__ import annotations
 
 import math
 from collections.abc import Iterator
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -21,10 +25,12 @@ from .groups import block_pairs, dealt, forest, rows_of, units
 from .scratch import materialise, without
 
 OUT = ("n_links", "component_id", "kept")
+#: Recalls that the law of tuned() is asked for in one rotation, the cheapest first, and rotations at most.
+EACH, TURNS = (0.8, 0.95, 0.9995), 64
 
 
 def tuned(n: int, dim: int, threshold: float, recall: float = 0.9995, occupancy: int = 8) -> tuple[float, int]:
-    """Vectors, dimensions -> (alpha, codewords a half).
+    """Vectors, dimensions -> (alpha, codewords a half) of one rotation, by a rough law; settled() measures it.
 
     alpha lets a filter hold `occupancy` unrelated vectors, whatever n; the codes then have as many words as make a
     pair at the threshold miss all common filters with probability 1 - recall. Inner products of unit vectors with a
@@ -51,14 +57,10 @@ def tuned(n: int, dim: int, threshold: float, recall: float = 0.9995, occupancy:
 
 def _sampled(n: int, dim: int, threshold: float, recall: float, occupancy: int) -> tuple[float, int]:
     """The same where a normal law is too far off: by drawing pairs at the threshold, and directions."""
-    rng = np.random.default_rng([1, dim])
     share = max(2e-3, occupancy / n)
     _, one, two = codes(dim, 64)
     c = np.concatenate([np.repeat(one, 64, 0), np.tile(two, (64, 1))], 1) / math.sqrt(2) if dim > 1 else one
-    u, w = rng.normal(size=(2, 800, dim))
-    u /= np.linalg.norm(u, axis=1, keepdims=True)
-    w -= (w * u).sum(1, keepdims=True) * u
-    v = threshold * u + math.sqrt(1 - threshold**2) * w / np.maximum(np.linalg.norm(w, axis=1, keepdims=True), 1e-9)
+    u, v = _pairs(800, dim, threshold, 1)
     a, b = u @ c.T, v @ c.T
     for alpha in np.quantile(a, 1 - share * 2.0 ** np.arange(12)[share * 2.0 ** np.arange(12) < 0.9]):
         # of directions drawn afresh, the worst drawn pairs decide
@@ -68,6 +70,38 @@ def _sampled(n: int, dim: int, threshold: float, recall: float, occupancy: int)
     return -2.0, 1
 
 
+def _pairs(n: int, dim: int, threshold: float, seed: int) -> tuple[np.ndarray, np.ndarray]:
+    """Pairs of unit vectors at the threshold, in random directions."""
+    u, w = np.random.default_rng([seed, dim]).normal(size=(2, n, dim))
+    u /= np.linalg.norm(u, axis=1, keepdims=True)
+    w -= (w * u).sum(1, keepdims=True) * u
+    return u, threshold * u + math.sqrt(max(0.0, 1 - threshold**2)) * w / np.maximum(np.linalg.norm(w, axis=1, keepdims=True), 1e-9)
+
+
+def settled(n: int, dim: int, threshold: float, recall: float = 0.9995) -> tuple[float, int, list[int]]:
+    """Vectors, dimensions -> (alpha, codewords a half, seeds of the rotations).
+
+    Rotations are added until the product of the shares of drawn pairs at the threshold that have no common filter in
+    each is at most 1 - recall. A rotation that is random turns any pair into a drawn one, so the product holds for
+    each pair, however lopsided. Where too few pairs ever meet, one filter that all pass compares all.
+    """
+    for each in EACH:
+        alpha, words = tuned(n, dim, threshold, min(each, recall))
+        if words == 1:
+            break
+        u, v = _pairs(1000, dim, threshold, 2)
+        missed, seeds = 1.0, []
+        while missed > 1 - recall and len(seeds) < TURNS:
+            seeds.append(5 + len(seeds))
+            lists = zip(decode(u, alpha, words, seeds[-1]), decode(v, alpha, words, seeds[-1]), strict=True)
+            apart = sum(not np.intersect1d(a, b, assume_unique=True).size for a, b in lists)
+            missed *= min(1.0, (apart + 1) / len(u))
+        if missed <= 1 - recall:
+            return alpha, words, seeds
+    return -2.0, 1, [5]
+
+
+@lru_cache(maxsize=128)
 def codes(dim: int, words: int, seed: int = 5) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """A rotation and the two codes; the same on every machine."""
     rng = np.random.default_rng([seed, dim, words])
@@ -77,10 +111,10 @@ def codes(dim: int, words: int, seed: int = 5) -> tuple[np.ndarray, np.ndarray,
     return turn, one / np.linalg.norm(one, axis=1, keepdims=True), two / np.linalg.norm(two, axis=1, keepdims=True)
 
 
-def decode(x: np.ndarray, alpha: float, words: int) -> list[np.ndarray]:
-    """Unit vectors -> the numbers of all filters each one passes."""
+def decode(x: np.ndarray, alpha: float, words: int, seed: int = 5) -> list[np.ndarray]:
+    """Unit vectors -> the numbers of all filters of a rotation that each one passes."""
     dim = x.shape[1]
-    turn, one, two = codes(dim, words)
+    turn, one, two = codes(dim, words, seed)
     y = x @ turn
     half = one.shape[1]
     a = y[:, :half] @ one.T
@@ -120,7 +154,7 @@ def near_vectors(vectors: DataFrame, id_col: str = "vec_id", vector_col: str = "
     node = t.where("_tg_node IS NOT NULL").select(F.col(id_col).alias("id"), F.col("_tg_v").alias("v"), F.col("_tg_node").alias("node"))
     reps = materialise(node.groupBy("node").agg(F.min("id").alias("id"), F.count("*").alias("copies"), F.first("v").alias("v")))
     dims = [(r[0], r[1]) for r in reps.groupBy(F.size("v")).count().orderBy(F.desc("count")).collect()]
-    settings = {d: tuned(n, d, threshold, recall) for d, n in dims}
+    settings = {d: settled(n, d, threshold, recall) for d, n in dims}
     schema = "node binary, g binary, x binary"
 
     def filters(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -134,10 +168,10 @@ def near_vectors(vectors: DataFrame, id_col: str = "vec_id", vector_col: str = "
                     x = np.array([vs[i] for i in at], float)
                     x /= np.abs(x).max(1, keepdims=True)  # no overflow in the norm
                     x /= np.linalg.norm(x, axis=1, keepdims=True)
-                    alpha, words = settings[int(dim)]
-                    lists = decode(x, alpha, words)
+                    alpha, words, seeds = settings[int(dim)]
+                    turns = [decode(x, alpha, words, seed) for seed in seeds]
+                    lists = [np.concatenate([f + k * words * words for k, f in enumerate(fs)]) for fs in zip(*turns, strict=True)]
                     of = np.repeat(np.arange(len(at)), [len(f) for f in lists])
-                    # a row of its own carries a vector that passes no filter to the counting of its copies
                     g = np.concatenate([np.zeros(0, np.int64), *lists]).astype(">i8")
                     key = np.concatenate([np.full(len(g), dim, ">i8")[:, None].view(np.uint8).reshape(len(g), 8), g[:, None].view(np.uint8).reshape(len(g), 8)], 1)
                     raw = [r.tobytes() for r in x]
