@@ -106,3 +106,26 @@ def test_op8(spark):
     lost = sum([(x["start"], x["end"], x["removed"]) for x in r["repeats"]] != want.get((r["doc_id"], text[r["doc_id"]]), []) for r in got)
     assert len(got) == len(rows) and lost <= 0.01 * len(rows) and sum(r["n_removed"] for r in got) > 0
     assert re
+
+
+def test_planted(spark):
+    """Equal lines between unlike ones are found whole, by their bytes; passages inside longer lines but for their ends."""
+    rng = random.Random(4)
+    text = lambda n: " ".join("".join(rng.choice("abcdefghij") for _ in range(rng.randint(4, 9))) for _ in range(n))
+    shared = {k: text(k) for k in (*range(16, 60), 80, 150)}
+    short = "\n".join(text(4) for _ in range(6))  # lines without an n-gram
+    rows, wanted = [], {}
+    for k, x in [*shared.items(), (0, short)]:
+        for side in (0, 1):
+            rows.append((2 * k + side, text(rng.randint(3, 40)) + "\n" + x + "\n" + text(rng.randint(3, 40))))
+            wanted[2 * k + side] = {(w.start(), w.end()) for w in re.finditer(r"\S+", rows[-1][1]) if rows[-1][1].index(x) <= w.start() < rows[-1][1].index(x) + len(x)}
+    passage = {k: text(k) for k in range(60, 100)}
+    rows += [(1000 + 2 * k + side, text(30) + " " + x + " " + text(30)) for k, x in passage.items() for side in (0, 1)]
+    got = {r["doc_id"]: r for r in dedup_paragraphs(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    caught = lambda i, t: {(w.start(), w.end()) for w in re.finditer(r"\S+", t) if any(x["start"] <= w.start() < x["end"] for x in got[i]["repeats"])}
+    for i, t in rows:
+        if i < 1000:
+            assert caught(i, t) == wanted[i], i
+    inner = sum(len(caught(i, t)) for i, t in rows if i >= 1000)
+    assert inner >= 0.6 * 2 * sum(passage), inner / sum(passage) / 2
+    assert all(len(caught(i, t)) <= (i - 1000) // 2 + 6 for i, t in rows if i >= 1000)

@@ -1,8 +1,9 @@
 """Substring dedup by paragraph MinHash banding.
 
-A paragraph is a line, or a part of one: lines are also cut at content-defined places, the least word-pair hash of
-each WINDOW consecutive words, so that a passage inside a longer line is cut in the same places wherever it stands.
-A paragraph's n-grams are those that begin in it. Bands are tuned for recall; paragraphs that collide are compared by
+A paragraph is a line, or a part of one: lines are also cut at content-defined places, where a word pair's hash is the
+least among those of the SIDE pairs before and after it, so that a passage inside a longer line is cut in the same
+places wherever it stands, but for its ends. All that decides a cut lies in its line, and a paragraph's n-grams lie
+wholly in it, so equal lines are equal paragraphs, whatever stands around them. Bands are tuned for recall; paragraphs that collide are compared by
 their exact n-gram sets, linked ones form a component, and all but its first occurrence are removed.
 """
 
@@ -22,15 +23,16 @@ from .minhash import N_GRAM, THRESHOLD, _mix, banding, exact_links, word_hashes
 from .scratch import drop, lean, materialise, shuffle_partitions, without
 from .suffixes import least_in_windows
 
-WINDOW, RECALL, HASHES = 24, 0.99, 12
+SIDE, RECALL, HASHES = 5, 0.99, 12
 #: Words that a run of repeated paragraphs must have to count; shorter ones are phrases, not passages.
 LEAST_WORDS = 16
 CHUNK = 1 << 21
 
 
 def paragraphs(texts: list[bytes], n: int = N_GRAM) -> dict[str, np.ndarray]:
-    """Texts -> by paragraph with an n-gram: its text, number, start and end (bytes), reach (the end of its last
-    n-gram), words and n-gram hashes from `first` on."""
+    """Texts -> by paragraph: its text, number, start, end and reach (the end of its last n-gram, in bytes), words and
+    n-gram hashes from `first` on. A paragraph of fewer than n words has one n-gram, all of its words; texts of fewer
+    than n words have no paragraphs."""
     joined = np.frombuffer(b"\n".join(texts) + b"\n", np.uint8)
     begin = np.concatenate([[0], np.cumsum([len(t) + 1 for t in texts])])
     w, at = word_hashes(joined)
@@ -39,36 +41,46 @@ def paragraphs(texts: list[bytes], n: int = N_GRAM) -> dict[str, np.ndarray]:
     if full <= 0:
         return {k: none for k in ("text", "number", "start", "end", "reach", "words", "first")} | {"grams": np.zeros(0, np.uint64)}
     of = np.searchsorted(begin, at, "right") - 1
-    s = np.zeros(full, np.uint64)
-    for k in range(n):
-        s = s * np.uint64(0xD6E8FEB86659FD93) + w[k : k + full]
-    grams = _mix(s)
-    whole = of[n - 1 :] == of[:full]
-    # where paragraphs begin: lines, texts and the least pair of each window
+    # where paragraphs begin: lines (and so texts), and least pairs whose neighbours are of the same line
     lines = np.concatenate([[0], np.flatnonzero(joined == 10) + 1])
     cut = np.zeros(len(w), bool)
     first = np.searchsorted(at, lines)
     cut[first[first < len(w)]] = True
+    line = np.cumsum(cut)
+    side = max(SIDE, n)
     pair = _mix(w[:-1] * np.uint64(3) + w[1:])
     key = (pair & np.uint64(0xFFFFFFFF00000000)) | np.arange(len(pair), dtype=np.uint64)
-    if len(key) >= WINDOW:
-        least = (least_in_windows(key, WINDOW) & np.uint64(0xFFFFFFFF)).astype(np.int64)
-        inside = of[WINDOW:] == of[: len(least)]  # the window's words, and its last pair's, are of one text
-        cut[least[: len(inside)][inside]] = True
+    if len(key) > 2 * side:
+        least = (least_in_windows(key, 2 * side + 1) & np.uint64(0xFFFFFFFF)).astype(np.int64)
+        here = np.arange(side, side + len(least))
+        cut[here[(least == here) & (line[here - side] == line[here + side + 1])]] = True
     p = np.flatnonzero(cut)
     stop = np.append(p[1:], len(w))
+    size = stop - p
+    # n-grams wholly inside a paragraph, and all words of those too short for one
+    s = np.zeros(full, np.uint64)
+    for k in range(n):
+        s = s * np.uint64(0xD6E8FEB86659FD93) + w[k : k + full]
+    grams = np.zeros(len(w), np.uint64)
+    grams[:full] = _mix(s)
+    own = np.cumsum(cut)
+    inside = np.zeros(len(w), bool)
+    inside[:full] = own[n - 1 :] == own[:full]
+    for m in range(1, n):
+        short = p[size == m]
+        s = np.full(len(short), m, np.uint64)
+        for k in range(m):
+            s = s * np.uint64(0xD6E8FEB86659FD93) + w[short + k]
+        grams[short] = _mix(s)
+        inside[short] = True
+    inside &= (np.bincount(of, minlength=len(texts)) >= n)[of]
     end = np.where(np.append(of[p[1:]] == of[p[:-1]], False), at[np.minimum(stop, len(w) - 1)], begin[of[p] + 1] - 1)
-    ends = np.concatenate([at[1:], [len(joined)]])
     number = np.arange(len(p)) - np.searchsorted(of[p], of[p])
-    # n-grams that begin in each paragraph and end in its text
-    kept = np.concatenate([[0], np.cumsum(np.concatenate([whole, np.zeros(n - 1, bool)]))])
-    lo, hi = kept[p], kept[stop]
-    some = hi > lo
-    p, stop, end, number, lo, hi = p[some], stop[some], end[some], number[some], lo[some], hi[some]
-    last = np.minimum(p + (hi - lo) - 1 + n - 1, len(w) - 1)
-    reach = np.minimum(ends[last], begin[of[p] + 1] - 1)
+    kept = np.concatenate([[0], np.cumsum(inside)])
+    some = inside[p]
+    p, size, end, number = p[some], size[some], end[some], number[some]
     base = begin[of[p]]
-    return {"text": of[p], "number": number, "start": at[p] - base, "end": end - base, "reach": reach - base, "words": stop - p, "first": lo, "grams": grams[whole]}
+    return {"text": of[p], "number": number, "start": at[p] - base, "end": end - base, "reach": end - base, "words": size, "first": kept[p], "grams": grams[inside]}
 
 
 def nodes_of(p: dict[str, np.ndarray]) -> np.ndarray:
