@@ -4,7 +4,9 @@ import re
 import numpy as np
 
 from tests.llm.helpers import EDGE, classes, edge, grams, none
-from trigrid.llm.paragraphs import LEAST_WORDS, dedup_paragraphs, nodes_of, op8_substring_dedup, paragraphs
+from trigrid.llm import minhash
+from trigrid.llm.minhash import THRESHOLD, banding
+from trigrid.llm.paragraphs import HASHES, LEAST_WORDS, RECALL, dedup_paragraphs, nodes_of, op8_substring_dedup, paragraphs
 
 
 def test_paragraphs():
@@ -129,3 +131,9 @@ def test_planted(spark):
     inner = sum(len(caught(i, t)) for i, t in rows if i >= 1000)
     assert inner >= 0.6 * 2 * sum(passage), inner / sum(passage) / 2
     assert all(len(caught(i, t)) <= (i - 1000) // 2 + 6 for i, t in rows if i >= 1000)
+
+
+def test_recall():
+    """The registered bands find a pair at the threshold as surely as op9's."""
+    bands, rows = banding(THRESHOLD, RECALL, HASHES)
+    assert 1 - (1 - THRESHOLD**rows) ** bands >= minhash.RECALL and bands * rows <= HASHES

@@ -23,7 +23,7 @@ from .minhash import N_GRAM, THRESHOLD, _mix, banding, exact_links, word_hashes
 from .scratch import drop, lean, materialise, shuffle_partitions, without
 from .suffixes import least_in_windows
 
-SIDE, RECALL, HASHES = 5, 0.99, 12
+SIDE, RECALL, HASHES = 5, 0.9999, 20
 #: Words that a run of repeated paragraphs must have to count; shorter ones are phrases, not passages.
 LEAST_WORDS = 16
 CHUNK = 1 << 21
