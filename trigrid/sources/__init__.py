@@ -1,4 +1,4 @@
-"""Readers of points and shapes, and the writer of cell features."""
+"""Readers of points, and the writer of cell features."""
 
 from __future__ import annotations
 
