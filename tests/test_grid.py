@@ -209,3 +209,13 @@ def test_sources(spark, tmp_path):
     assert got == [(0, 1.5, 2.0), (1, 3.0, 4.0), (1, 5.0, 6.0)]
     ring = spark.createDataFrame([(packed(3, [1]), [[0.0, 1.0], [2.0, 3.0], [0.0, 1.0]])], "cell long, ring array<array<double>>")
     assert '"path":"F03-1"' in sources.cell_features(ring).first()[0]
+
+
+def test_hilbert_ranges_whole(spark):
+    """The intervals hold all rhombi of the table's cells."""
+    from trigrid.plans.queries import hilbert_ranges, rhombus_keys
+
+    d, step = "/root/testdata/sf0.001", 1 << (2 * (27 - 9) + 5)
+    want = {int(r[0]) for r in rhombus_keys(spark, d).select("rhombus").distinct().collect()}
+    got = {k for r in hilbert_ranges(spark, d).collect() for k in range(r["lo"], r["hi"] + 1, step)}
+    assert {k % (1 << 64) for k in got} == {k % (1 << 64) for k in want}

@@ -350,7 +350,7 @@ def rhombus_keys(spark, d):
 @query()
 def hilbert_ranges(spark, d):
     """Distinct rhombi of one level as intervals of consecutive keys."""
-    t = measures(spark, d).where("p % 3 = 0").select("cell").distinct().select(rhombus_of("cell")["key"].alias("key")).distinct()
+    t = measures(spark, d).select("cell").distinct().select(rhombus_of("cell")["key"].alias("key")).distinct()
     step = 1 << (2 * (27 - 9) + 5)
     t = t.withColumn("diamond", F.shiftright("key", 59).cast("int"))
     return ranges.merge(t.select("diamond", F.col("key").alias("lo"), F.col("key").alias("hi")), "lo", "hi", ("diamond",), gap=step)
