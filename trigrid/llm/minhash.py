@@ -92,14 +92,14 @@ def shingles(texts: list[bytes], n: int = N_GRAM) -> tuple[np.ndarray, np.ndarra
             s = s * np.uint64(0xD6E8FEB86659FD93) + w[k : k + full]
         g[:full] = _mix(s)
     keep = np.ones(len(w), bool)
-    short = np.flatnonzero((count > 0) & (count < n))
-    for i in short:
-        s = np.uint64(count[i])
-        with np.errstate(over="ignore"):
-            for x in w[first[i] : first[i + 1]]:
-                s = s * np.uint64(0xD6E8FEB86659FD93) + x
-        g[first[i]] = _mix(np.array([s], np.uint64))[0]
-        keep[first[i] + 1 : first[i + 1]] = False
+    for m in range(1, n):  # texts of fewer words
+        at = first[:-1][count == m]
+        s = np.full(len(at), m, np.uint64)
+        for k in range(m):
+            s = s * np.uint64(0xD6E8FEB86659FD93) + w[at + k]
+            if k:
+                keep[at + k] = False
+        g[at] = _mix(s)
     for k in range(1, n):  # n-grams that would run into the next text
         last = first[1:] - k
         keep[last[count >= n]] = False

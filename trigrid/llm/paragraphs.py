@@ -3,12 +3,15 @@
 A paragraph is a line, or a part of one: lines are also cut at content-defined places, where a word pair's hash is the
 least among those of the SIDE pairs before and after it, so that a passage inside a longer line is cut in the same
 places wherever it stands, but for its ends. All that decides a cut lies in its line, and a paragraph's n-grams lie
-wholly in it, so equal lines are equal paragraphs, whatever stands around them. Bands are tuned for recall; paragraphs that collide are compared by
-their exact n-gram sets, linked ones form a component, and all but its first occurrence are removed.
+wholly in it, so equal lines are equal paragraphs, whatever stands around them. Bands are tuned for recall and looked
+at in two passes, so that half of their keys are on disk at once. Paragraphs that collide, directly or by others, meet
+and are compared by their exact n-gram sets; where very many hang together only those of a bucket do. Linked ones form
+a component, and all but its first occurrence are removed.
 """
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 
 import numpy as np
@@ -18,15 +21,24 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from .graph import components
-from .groups import units
-from .minhash import N_GRAM, THRESHOLD, _mix, banding, exact_links, word_hashes
+from .groups import block_pairs, dealt, forest, units
+from .minhash import N_GRAM, THRESHOLD, _mix, banding, overlaps, shingles, word_hashes
 from .scratch import drop, lean, materialise, shuffle_partitions, without
 from .suffixes import least_in_windows
 
 SIDE, RECALL, HASHES = 5, 0.9999, 20
 #: Words that a run of repeated paragraphs must have to count; shorter ones are phrases, not passages.
 LEAST_WORDS = 16
+#: Passes over the texts, each with its share of the bands: the disk that band keys take, against CPU seconds.
+PASSES = 2
 CHUNK = 1 << 21
+#: Paragraphs of a component, or of a bucket in a larger one, that are compared in one place; pairs of blocks beyond.
+BLOCK = 2048
+
+
+def _alone(threshold: float) -> int:
+    """Sets of at most so many n-grams can only reach the threshold with an equal one."""
+    return max(1, math.ceil(threshold / (1 - threshold) - 1e-9) - 1) if threshold < 1 else 1 << 30
 
 
 def paragraphs(texts: list[bytes], n: int = N_GRAM) -> dict[str, np.ndarray]:
@@ -90,20 +102,99 @@ def nodes_of(p: dict[str, np.ndarray]) -> np.ndarray:
     return _mix(np.add.reduceat(_mix(p["grams"] ^ np.uint64(0x5851F42D4C957F2D)), p["first"])).view(np.int64)
 
 
-def band_keys(p: dict[str, np.ndarray], bands: int, rows: int, seed: int = 12) -> np.ndarray:
-    """Matrix of paragraphs by bands."""
-    rng = np.random.default_rng(seed)
-    x = p["grams"]
-    out = np.zeros((len(p["first"]), bands), np.uint64)
-    if not len(out):
-        return out.view(np.int64)
-    for b in range(bands):
-        h = np.full(len(out), b + 1, np.uint64)
+def band_keys(p: dict[str, np.ndarray], rows: int, which: range, alone: int = 0, seed: int = 12) -> tuple[np.ndarray, np.ndarray]:
+    """The keys of the bands `which`, and the paragraph of each. Paragraphs of at most `alone` n-grams, which link with
+    equal sets only, are in band 0 alone: equal sets have equal keys in any band."""
+    x, first = p["grams"], p["first"]
+    if not len(first):
+        return np.zeros(0, np.int64), np.zeros(0, np.int64)
+    size = np.diff(np.append(first, len(x)))
+    large = np.flatnonzero(size > alone)
+    at = np.cumsum(np.concatenate([[0], size[large]]))[:-1]
+    y = x[np.repeat(size > alone, size)]
+    out, of = [], []
+    for b in which:
+        rng = np.random.default_rng([seed, b])
+        z, start = (x, first) if b == 0 else (y, at)
+        if not len(start):
+            continue
+        h = np.full(len(start), b + 1, np.uint64)
         for _ in range(rows):
             a, c = rng.integers(1, 1 << 63, 2, dtype=np.uint64)
-            h = _mix(h * np.uint64(0x9E3779B97F4A7C15) + np.minimum.reduceat((x ^ c) * (a | np.uint64(1)), p["first"]))
-        out[:, b] = h
-    return out.view(np.int64)
+            h = _mix(h * np.uint64(0x9E3779B97F4A7C15) + np.minimum.reduceat((z ^ c) * (a | np.uint64(1)), start))
+        out.append(h.view(np.int64))
+        of.append(np.arange(len(first)) if b == 0 else large)
+    return (np.concatenate(out), np.concatenate(of)) if out else (np.zeros(0, np.int64), np.zeros(0, np.int64))
+
+
+def small_forests(sets: list[np.ndarray], starts: np.ndarray, threshold: float) -> np.ndarray:
+    """Sorted sets without repeats, units of few members from starts on -> for each member the smallest one of its unit
+    that links lead to. All pairs of a unit are compared, those of all units in one sort."""
+    n = np.diff(starts)
+    size = np.array([len(x) for x in sets], np.int64)
+    root = np.arange(len(sets))
+    i, j = [], []
+    for m in np.unique(n[n > 1]):
+        a, b = np.triu_indices(m, 1)
+        base = starts[:-1][n == m][:, None]
+        i.append((base + a).ravel())
+        j.append((base + b).ravel())
+    if not i:
+        return root
+    i, j = np.concatenate(i), np.concatenate(j)
+    ok = np.minimum(size[i], size[j]) >= threshold * np.maximum(size[i], size[j]) - 1e-9
+    i, j = i[ok], j[ok]
+    flat, begin = np.concatenate([*sets, np.zeros(0, np.uint64)]), np.cumsum(np.concatenate([[0], size]))
+    links = [np.zeros((2, 0), np.int64)]
+    for lo in range(0, len(i), 1 << 15):
+        a, b = i[lo : lo + (1 << 15)], j[lo : lo + (1 << 15)]
+        both = np.concatenate([a, b])
+        of = np.repeat(np.concatenate([np.arange(len(a))] * 2), size[both])
+        at = np.arange(len(of)) - np.repeat(np.cumsum(size[both]) - size[both], size[both]) + np.repeat(begin[both], size[both])
+        value = flat[at]
+        order = np.lexsort((value, of))
+        value, of = value[order], of[order]
+        common = np.bincount(of[1:][(value[1:] == value[:-1]) & (of[1:] == of[:-1])], minlength=len(a))
+        near = common >= threshold * (size[a] + size[b] - common) - 1e-9
+        links.append(np.stack([a[near], b[near]]))
+    a, b = np.concatenate(links, 1)
+    while True:  # the smaller root wins until nothing changes
+        low = np.minimum(root[a], root[b])
+        if (low == root[a]).all() and (low == root[b]).all():
+            return root
+        np.minimum.at(root, root[a], low)
+        np.minimum.at(root, root[b], low)
+        root = root[root]
+
+
+def exact_forests(units_: DataFrame, n: int, threshold: float) -> DataFrame:
+    """units_ (g, n, node, text binary) -> links (src, dst) as forests, by exact sets."""
+
+    def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for t, starts in units(batches):
+            g, at = shingles(t["text"].to_pylist(), n)
+            of = np.repeat(np.arange(len(at) - 1), np.diff(at))
+            order = np.lexsort((g, of))
+            g, of = g[order], of[order]
+            new = np.concatenate([[True], (g[1:] != g[:-1]) | (of[1:] != of[:-1])]) if len(g) else np.zeros(0, bool)
+            sets = np.split(g[new], np.cumsum(np.bincount(of[new], minlength=t.num_rows))[:-1]) if t.num_rows else []
+            size = np.diff(starts)
+            few = np.repeat(size <= 16, size)
+            root = np.arange(t.num_rows)
+            if few.any():
+                mine = np.flatnonzero(few)
+                root[mine] = mine[small_forests([sets[k] for k in mine], np.cumsum(np.concatenate([[0], size[size <= 16]])), threshold)]
+            for a, b in zip(starts[:-1][size > 16], starts[1:][size > 16], strict=True):
+                many = np.array([len(s) for s in sets[a:b]], float)
+                both = overlaps(sets[a:b])
+                near = lambda r, c, both=both, many=many: both[np.ix_(r, c)] >= threshold * (many[r][:, None] + many[c][None, :] - both[np.ix_(r, c)]) - 1e-9
+                root[a:b] = a + forest(near, b - a)
+            hit = np.flatnonzero(root != np.arange(t.num_rows))
+            node = np.asarray(t["node"].combine_chunks())
+            yield pa.RecordBatch.from_arrays([pa.array(node[hit]), pa.array(node[root[hit]])], names=["src", "dst"])
+
+    work = dealt(block_pairs(units_, BLOCK).select("g", "bi", "bj", "node", "text"))
+    return work.mapInArrow(compare, "src bigint, dst bigint")
 
 
 def _parts(column) -> Iterator[tuple[int, list[bytes]]]:
@@ -120,6 +211,7 @@ def _parts(column) -> Iterator[tuple[int, list[bytes]]]:
 
 
 OUT = ("repeats", "kept_text")
+SPOT = ("number", "start", "end", "words")
 
 
 def dedup_paragraphs(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", n: int = N_GRAM, threshold: float = THRESHOLD, recall: float = RECALL, least_words: int = LEAST_WORDS, carry: list[str] | None = None, with_text: bool = True) -> DataFrame:
@@ -139,17 +231,21 @@ def dedup_paragraphs(docs: DataFrame, id_col: str = "doc_id", text_col: str = "t
     mark = F.xxhash64(F.col(text_col))
     src = base.select(F.col(id_col).alias("id"), mark.alias("mark"), text.alias("t"))
     id_type = src.schema["id"].dataType
-    n_parts = shuffle_partitions(docs.sparkSession)
+    n_parts, alone = shuffle_partitions(docs.sparkSession), _alone(threshold)
 
-    def keys(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for _, texts in _parts(batch["t"]):
-                p = paragraphs(texts, n)
-                k, node = band_keys(p, bands, rows).ravel(), np.repeat(nodes_of(p), bands)
-                order = np.lexsort((node, k))  # equal paragraphs of a lot travel as one row
-                k, node = k[order], node[order]
-                new = np.flatnonzero(np.concatenate([[True], (k[1:] != k[:-1]) | (node[1:] != node[:-1])])) if len(k) else np.zeros(0, np.int64)
-                yield pa.RecordBatch.from_arrays([pa.array(k[new]), pa.array(node[new]), pa.array(np.diff(np.append(new, len(k))).astype(np.int32))], names=["g", "node", "many"])
+    def keys_of(which: range):
+        def keys(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for batch in batches:
+                for _, texts in _parts(batch["t"]):
+                    p = paragraphs(texts, n)
+                    k, of = band_keys(p, rows, which, alone)
+                    node = nodes_of(p)[of]
+                    order = np.lexsort((node, k))  # equal paragraphs of a lot travel as one row
+                    k, node = k[order], node[order]
+                    new = np.flatnonzero(np.concatenate([[True], (k[1:] != k[:-1]) | (node[1:] != node[:-1])])) if len(k) else np.zeros(0, np.int64)
+                    yield pa.RecordBatch.from_arrays([pa.array(k[new]), pa.array(node[new]), pa.array(np.diff(np.append(new, len(k))).astype(np.int32))], names=["g", "node", "many"])
+
+        return keys
 
     def collide(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for t, starts in units(batches, ("g",)):
@@ -157,39 +253,59 @@ def dedup_paragraphs(docs: DataFrame, id_col: str = "doc_id", text_col: str = "t
             size = np.diff(starts)
             keep = np.repeat(np.add.reduceat(many, starts[:-1]) > 1, size)
             least = np.repeat(np.minimum.reduceat(node, starts[:-1]), size)
-            out = np.unique(np.stack([node[keep], least[keep]]), axis=1) if keep.any() else np.zeros((2, 0), np.int64)
-            yield pa.RecordBatch.from_arrays([pa.array(out[0]), pa.array(out[1])], names=["node", "least"])
+            g = np.asarray(t["g"].combine_chunks())
+            out = np.stack([g[keep], node[keep], least[keep]])
+            out = np.unique(out, axis=1) if keep.any() else out
+            yield pa.RecordBatch.from_arrays([pa.array(x) for x in out], names=["g", "node", "least"])
 
-    met = materialise(src.select("t").mapInArrow(keys, "g bigint, node bigint, many int").repartition(n_parts, "g").sortWithinPartitions("g").mapInArrow(collide, "node bigint, least bigint"))
-    labels = materialise(components(met.select(F.col("least").alias("src"), F.col("node").alias("dst"))))
-    wanted = materialise(met.select(F.col("node").alias("w")).distinct())
-    drop(met)
-    spot = T.StructType([T.StructField("id", id_type), T.StructField("mark", T.LongType()), *(T.StructField(c, T.LongType()) for c in ("number", "start", "end", "reach", "words", "node"))])
+    met = []
+    for k in range(PASSES):
+        which = range(k * bands // PASSES, (k + 1) * bands // PASSES)
+        keys = src.select("t").mapInArrow(keys_of(which), "g bigint, node bigint, many int")
+        met.append(materialise(keys.repartition(n_parts, "g").sortWithinPartitions("g").mapInArrow(collide, "g bigint, node bigint, least bigint")))
+    every = met[0]
+    for x in met[1:]:
+        every = every.unionByName(x)
+    labels = materialise(components(every.select(F.col("least").alias("src"), F.col("node").alias("dst"))))
+    wanted = materialise(every.select(F.col("node").alias("w")).distinct())
+    spot = T.StructType([T.StructField("id", id_type), T.StructField("mark", T.LongType()), *(T.StructField(c, T.IntegerType()) for c in SPOT), T.StructField("node", T.LongType())])
 
     def places(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for lo, texts in _parts(batch["t"]):
                 p = paragraphs(texts, n)
                 i = pa.array(p["text"] + lo)
-                yield pa.RecordBatch.from_arrays([batch["id"].take(i), batch["mark"].take(i), *(pa.array(p[c].astype(np.int64)) for c in ("number", "start", "end", "reach", "words")), pa.array(nodes_of(p))], names=spot.names)
+                yield pa.RecordBatch.from_arrays([batch["id"].take(i), batch["mark"].take(i), *(pa.array(p[c].astype(np.int32)) for c in SPOT), pa.array(nodes_of(p))], names=spot.names)
 
     spots = src.mapInArrow(places, spot)
     found = materialise(spots.join(wanted, spots["node"] == wanted["w"], "left_semi").dropDuplicates(["id", "mark", "number"]))
-    # exact sets of one paragraph for each node that has a candidate partner
-    one = found.join(labels, "node").groupBy("node", "label").agg(F.min(F.struct("id", "mark", "start", "reach")).alias("w"), F.count("*").alias("copies"))
-    of = labels.groupBy("label").agg(F.count("*").alias("n"))
-    want = one.join(of, "label").groupBy(F.col("w.id").alias("w_id"), F.col("w.mark").alias("w_mark")).agg(F.collect_list(F.struct("node", "copies", "n", F.col("label").alias("g"), F.col("w.start").alias("a"), F.col("w.reach").alias("b"))).alias("spots"))
+    drop(wanted)
+    # exact sets of one paragraph for each node that has a candidate partner; one place compares a whole component,
+    # but the buckets of one that is too large for that
+    sizes = labels.groupBy("label").agg(F.count("*").alias("n"))
+    of = labels.join(sizes, "label")
+    one = materialise(of.join(found.groupBy("node").agg(F.min(F.struct("id", "mark", "start", "end")).alias("w")), "node"))
+    want = one.groupBy(F.col("w.id").alias("w_id"), F.col("w.mark").alias("w_mark")).agg(F.collect_list(F.struct("node", "label", "n", F.col("w.start").alias("a"), F.col("w.end").alias("b"))).alias("spots"))
     cut = src.join(want, src["id"].eqNullSafe(want["w_id"]) & (src["mark"] == want["w_mark"])).select("t", F.explode("spots").alias("s"))
-    cut = cut.select("s.node", "s.copies", "s.n", "s.g", F.substring("t", F.col("s.a").cast("int") + 1, (F.col("s.b") - F.col("s.a")).cast("int")).alias("text"))
-    links, _ = exact_links(cut.dropDuplicates(["node"]), n, threshold)
+    cut = cut.select("s.node", "s.n", "s.label", F.substring("t", F.col("s.a") + 1, F.col("s.b") - F.col("s.a")).alias("text"))
+    cut = materialise(cut.dropDuplicates(["node"]))
+    whole = cut.where(F.col("n") <= BLOCK).select(F.col("label").alias("g"), "n", "node", "text")
+    hot = cut.where(F.col("n") > BLOCK).select(F.col("node").alias("b_node"), "text")
+    bucket = materialise(every.select("g", "node").distinct().join(hot.select("b_node"), F.col("node") == F.col("b_node"), "left_semi"))
+    in_bucket = bucket.groupBy("g").agg(F.count("*").alias("n")).where("n > 1")
+    buckets = bucket.join(in_bucket, "g").join(hot, F.col("node") == F.col("b_node")).select("g", "n", "node", "text")
+    links = exact_forests(whole.unionByName(buckets), n, threshold)
     classes = materialise(components(links)).select(F.col("node").alias("c_node"), "label")
+    for x in (*met, bucket, cut):
+        drop(x)
     found = found.join(classes, found["node"] == classes["c_node"], "left").withColumn("class_id", F.coalesce("label", "node")).drop("label", "c_node")
     found = materialise(found)
-    first = found.groupBy("class_id").agg(F.count("*").alias("n"), F.min(F.struct(F.col("id").isNull().alias("no"), "id", "mark", "number")).alias("first")).where("n > 1").select(F.col("class_id").alias("f_class"), "first")
+    # written, so that Spark can split what one class brings to the join
+    first = materialise(found.groupBy("class_id").agg(F.count("*").alias("n"), F.min(F.struct(F.col("id").isNull().alias("no"), "id", "mark", "number")).alias("first")).where("n > 1").select(F.col("class_id").alias("f_class"), "first"))
     again = found.join(first, found["class_id"] == first["f_class"])
     own = (F.col("id").eqNullSafe(F.col("first.id"))) & (F.col("mark") == F.col("first.mark")) & (F.col("number") == F.col("first.number"))
-    again = again.groupBy("id", "mark").agg(F.array_sort(F.collect_list(F.struct("number", "start", "end", "words", "class_id", (~own).alias("removed")))).alias("rows"))
-    again = again.select(F.col("id").alias("a_id"), F.col("mark").alias("a_mark"), "rows")
+    again = materialise(again.select(F.col("id").alias("a_id"), F.col("mark").alias("a_mark"), "number", "start", "end", "words", "class_id", (~own).alias("removed")))
+    again = again.groupBy("a_id", "a_mark").agg(F.array_sort(F.collect_list(F.struct("number", "start", "end", "words", "class_id", "removed"))).alias("rows"))
 
     names = [f"_tg_c{k}" for k in range(len(carry))]
     full = base.select(*[base[f"`{c}`"].alias(k) for k, c in zip(names, carry, strict=True)], F.col(id_col).alias("id"), mark.alias("mark"), *([text.alias("t")] if with_text else []))
@@ -199,30 +315,33 @@ def dedup_paragraphs(docs: DataFrame, id_col: str = "doc_id", text_col: str = "t
 
     def runs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            out, kept = [], []
-            texts = batch["t"] if with_text else [None] * batch.num_rows
-            for rows_, t in zip(batch["rows"], texts, strict=True):
-                mine, run = [], []
-                for r in [*(rows_.as_py() or ()), None]:
-                    if run and (r is None or r["number"] != run[-1]["number"] + 1):
-                        if sum(x["words"] for x in run) >= least_words:
-                            mine += [{k: x[k] for k in ("start", "end", "class_id", "removed")} for x in run]
-                        run = []
-                    run.append(r)
-                out.append(mine)
-                if with_text:
+            rows_ = batch["rows"]
+            n_rows = rows_.value_lengths().fill_null(0).to_numpy(zero_copy_only=False)
+            flat = rows_.flatten()
+            of = np.repeat(np.arange(batch.num_rows), n_rows)
+            number, words = (flat.field(k).to_numpy(zero_copy_only=False) for k in (0, 3))
+            new = np.ones(len(of), bool)
+            new[1:] = (of[1:] != of[:-1]) | (number[1:] != number[:-1] + 1)
+            run = np.cumsum(new) - 1
+            keep = np.bincount(run, words)[run] >= least_words if len(run) else new
+            at = pa.array(np.flatnonzero(keep))
+            start, end, cls, removed = (flat.field(k).take(at) for k in (1, 2, 4, 5))
+            per = np.bincount(of[keep], minlength=batch.num_rows)
+            spans = pa.StructArray.from_arrays([start.cast(pa.int64()), end.cast(pa.int64()), cls, removed], names=["start", "end", "class_id", "removed"])
+            offsets = np.concatenate([[0], np.cumsum(per)]).astype(np.int32)
+            kept = [None] * batch.num_rows
+            if with_text:
+                a, b, gone = start.to_pylist(), end.to_pylist(), removed.to_pylist()
+                for i, t in enumerate(batch["t"]):
                     t = t.as_buffer().to_pybytes()
-                    at, rest = 0, []
-                    for x in mine:
-                        if x["removed"]:
-                            rest.append(t[at : x["start"]])
-                            at = x["end"]
-                    kept.append((b"".join(rest) + t[at:]).decode())
-                else:
-                    kept.append(None)
-            yield pa.RecordBatch.from_arrays([batch[c] for c in names] + [pa.array(out, schema_arrow), pa.array(kept, pa.string())], names=schema.names)
-
-    schema_arrow = pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64()), ("class_id", pa.int64()), ("removed", pa.bool_())]))
+                    at_, rest = 0, []
+                    for k in range(offsets[i], offsets[i + 1]):
+                        if gone[k]:
+                            rest.append(t[at_ : a[k]])
+                            at_ = b[k]
+                    kept[i] = (b"".join(rest) + t[at_:]).decode()
+            yield pa.RecordBatch.from_arrays([batch[c] for c in names] + [pa.ListArray.from_arrays(pa.array(offsets), spans), pa.array(kept, pa.string())], names=schema.names)
+
     t = full.mapInArrow(runs, schema)
     return t.select(*[F.col(k).alias(c) for k, c in zip(names, carry, strict=True)], "repeats", *(["kept_text"] if with_text else []))
 
