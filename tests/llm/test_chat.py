@@ -48,6 +48,30 @@ def test_parts(spark):
     assert got[2]["formatted"].count("<|turn|>") == 3 and got[2]["attachments"][0]["tokens"] == 0
 
 
+def test_parts_edges(spark):
+    """Null and very long texts, ties, repeated rows, names that clash, an empty table."""
+    part = lambda kind, text=None, ref=None: Row(kind=kind, text=text, ref=ref, width=None, height=None, seconds=None, pages=1)
+    long = "wort <|x|> " * 30_000
+    rows = [(1, 0, "user", [part("document", ref="b")]), (1, 0, "user", [part("document", ref="a")]), (1, 0, "user", [part("document", ref="a")]), (1, None, None, [part("text"), part(None, text="")])]
+    rows += [(2, 0, "assistant", [part("text", text=long), part("image", ref="i"), part("text", text=long)]), (None, 0, "assistant", None)]
+    df = spark.createDataFrame(rows, f"conv_id long, turn long, role string, parts {PARTS}").withColumns({"id": F.lit(1), "text": F.lit("no"), "att": F.lit(2), "formatted": F.lit("x"), "k": F.lit(0), "content": F.lit(1)})
+    out = format_conversations(df, parts_col="parts")
+    got = {r["conv_id"]: r for r in out.withColumn("back", read_back(F.col("formatted"))).collect()}
+    assert [(a["n"], a["ref"]) for a in got[1]["attachments"]] == [(0, "a"), (1, "a"), (2, "b")]
+    assert [tuple(x) for x in got[1]["back"]] == [("", "")] + [("user", f"<|document:{i}|>") for i in range(3)]
+    assert [tuple(x) for x in got[2]["back"]] == [("assistant", long + "<|image:0|>" + long)]
+    assert got[None]["n_turns"] == 1 and got[None]["loss_mask"][0]["length"] == 0
+    assert format_conversations(df.where("false"), parts_col="parts").count() == 0
+
+
+def test_long_text(spark):
+    text = "<s> \\ [INST] é😀 " * 40_000
+    df = spark.createDataFrame([(1, 0, "assistant", text)], "conv_id long, turn long, role string, text string")
+    out = format_conversations(df)
+    r = out.select(read_back(F.col("formatted")).alias("t"), loss_text(F.col("formatted"), F.col("loss_mask")).alias("l")).first()
+    assert r["t"][0]["text"] == r["l"] == text
+
+
 def test_op5(spark):
     got = {r["conv_id"]: r for r in op5_chat_format(spark, "/root/testdata/sf0.001").collect()}
     rows = [tuple(r) for r in spark.read.parquet("/root/testdata/sf0.001/conversations.parquet").select("conv_id", "turn", "role", "text").collect()]

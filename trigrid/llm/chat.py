@@ -47,40 +47,35 @@ def format_conversations(turns: DataFrame, id_col: str = "conv_id", turn_col: st
 
     loss_mask is the spans (start, length in code points from 0) of formatted that hold the contents of loss_role's
     turns; attachments is (n, turn, kind, ref, tokens) in order, n counting from 0 through the conversation. Turns go
-    by turn number, nulls first, ties by role and content; repeated rows are repeated turns. Null texts, parts and
+    by turn number, nulls first, ties by role and parts; repeated rows are repeated turns. Null texts, parts and
     roles are empty. Parts of an unknown kind or none count as text. A null identifier is a conversation of its own.
     An empty table gives an empty table; other columns are ignored. One conversation is one row by its nature: its
     turns meet in one task, other conversations' don't.
     """
-    of_text = F.array(F.struct(F.lit("text").alias("kind"), F.col(text_col).alias("text"))) if parts_col is None else None
-    parts = of_text if of_text is not None else F.coalesce(F.col(parts_col), F.array().cast(PARTS))
-    t = turns.select(F.col(id_col).alias("id"), F.col(turn_col).alias("turn"), F.coalesce(F.col(role_col), F.lit("")).alias("role"), parts.alias("parts"))
     if parts_col is None:
-        t = t.select("id", "turn", "role", escaped(F.coalesce(F.col("parts")[0]["text"], F.lit(""))).alias("content"), F.lit(0).alias("n_att"), F.array().cast("array<struct<kind:string,ref:string,tokens:bigint>>").alias("att"))
-    else:
-        attached = lambda p: F.coalesce(p["kind"], F.lit("text")).isin("image", "audio", "document")
-        t = t.withColumn("att", F.transform(F.filter("parts", attached), lambda p: F.struct(p["kind"].alias("kind"), p["ref"].alias("ref"), expanded_tokens(p).alias("tokens"))))
-        t = t.withColumn("n_att", F.size("att"))
-    inner = Window.partitionBy("id").orderBy("turn", "role", *([] if parts_col else ["content"]))
-    upto = inner.rowsBetween(Window.unboundedPreceding, -1)
-    if parts_col is not None:
-        t = t.withColumn("att0", F.coalesce(F.sum("n_att").over(upto), F.lit(0)))
-        # the visitor: a running pair of what is rendered and how many attachments came before
-        seen = F.aggregate(
-            "parts",
-            F.struct(F.lit("").alias("out"), F.col("att0").alias("k")),
-            lambda acc, p: F.struct(
-                F.concat(acc["out"], F.when(attached(p), F.concat(F.lit("<|"), p["kind"], F.lit(":"), acc["k"].cast("string"), F.lit("|>"))).otherwise(escaped(F.coalesce(p["text"], F.lit(""))))).alias("out"),
-                (acc["k"] + attached(p).cast("long")).alias("k"),
-            ),
-        )
-        t = t.withColumn("content", seen["out"])
+        parts = F.array(F.struct(*[F.lit("text").alias("kind"), F.col(text_col).alias("text"), *[F.lit(None).alias(k) for k in ("ref", "width", "height", "seconds", "pages")]])).cast(PARTS)
     else:
-        t = t.withColumn("att0", F.lit(0).cast("long"))
+        parts = F.coalesce(F.col(parts_col), F.array().cast(PARTS))
+    t = turns.select(F.col(id_col).alias("id"), F.col(turn_col).alias("turn"), F.coalesce(F.col(role_col), F.lit("")).alias("role"), parts.alias("parts"))
+    attached = lambda p: F.coalesce(p["kind"], F.lit("text")).isin("image", "audio", "document")
+    t = t.withColumn("att", F.transform(F.filter("parts", attached), lambda p: F.struct(p["kind"].alias("kind"), p["ref"].alias("ref"), expanded_tokens(p).alias("tokens"))))
+    t = t.withColumn("n_att", F.size("att"))
+    # turns that tie go by what they hold
+    inner = Window.partitionBy("id").orderBy("turn", "role", "parts")
+    t = t.withColumn("att0", F.coalesce(F.sum("n_att").over(inner.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).cast("long"))
+    # the visitor: a running pair of what is rendered and how many attachments came before
+    seen = F.aggregate(
+        "parts",
+        F.struct(F.array().cast("array<string>").alias("out"), F.col("att0").alias("k")),
+        lambda acc, p: F.struct(
+            F.concat(acc["out"], F.array(F.when(attached(p), F.concat(F.lit("<|"), p["kind"], F.lit(":"), acc["k"].cast("string"), F.lit("|>"))).otherwise(escaped(F.coalesce(p["text"], F.lit("")))))).alias("out"),
+            (acc["k"] + attached(p).cast("long")).alias("k"),
+        ),
+    )
+    t = t.withColumn("content", F.array_join(seen["out"], ""))
     head = F.concat(F.lit(TURN), escaped(F.col("role")), F.lit(TEXT))
-    t = t.select("id", "turn", "role", "att", "att0", F.length(head).alias("lead"), F.length("content").alias("len"), F.concat(head, "content", F.lit(END)).alias("turn_text"))
-    order = Window.partitionBy("id").orderBy("turn", "role", "turn_text")
-    t = t.withColumns({"at": F.coalesce(F.sum(F.length("turn_text")).over(order.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)), "k": F.row_number().over(order)})
+    t = t.select("id", "turn", "role", "parts", "att", "att0", F.length(head).alias("lead"), F.length("content").alias("len"), F.concat(head, "content", F.lit(END)).alias("turn_text"))
+    t = t.withColumns({"at": F.coalesce(F.sum(F.length("turn_text")).over(inner.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)), "k": F.row_number().over(inner)})
     row = F.struct("k", "turn_text", F.when(F.col("role") == loss_role, F.struct((F.col("at") + F.col("lead")).alias("start"), F.col("len").cast("long").alias("length"))).alias("span"), F.transform("att", lambda a, i: F.struct((F.col("att0") + i).alias("n"), F.col("turn").alias("turn"), a["kind"].alias("kind"), a["ref"].alias("ref"), a["tokens"].alias("tokens"))).alias("att"))
     g = t.groupBy("id").agg(F.array_sort(F.collect_list(row)).alias("rows"))
     return g.select(
