@@ -2,8 +2,9 @@
 
 Sampled splitters deal the normalised texts into ranges, an external sort in each range places equal texts next to
 each other, and full comparisons of neighbours mark runs. The range key is (leading characters, 64-bit hash of the
-whole text, identifier), so a text with a third of all rows is cut into many ranges; the parts of a text that lie
-in several ranges can only touch the ends of ranges, and are put together from a table of a few rows a range.
+whole text, identifier): whole texts as splitters would bring too much to the driver, and a text with a third of all
+rows must be cut into many ranges. The parts of a text that lie in several ranges can only touch the ends of ranges;
+they, and runs too long to be held at once, are put together by comparing one whole text of each.
 """
 
 from __future__ import annotations
@@ -22,7 +23,9 @@ from .scratch import lean, materialise, without
 SPACE = r"[\x20\x09-\x0D]+"
 OUT = ("keep_id", "group_size", "kept", "text_sha256")
 #: Leading characters in the range key; the hash after them makes the key as good as the whole text.
-LEAD = 24
+LEAD = 64
+#: Bytes of one text's rows that a task holds before it passes them on as a run of their own.
+HELD = 1 << 26
 
 
 def normalised(text: str):
@@ -36,7 +39,7 @@ def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
     Texts are equal when equal after white-space normalisation. keep_id is the smallest identifier of the group and
     exactly one row of a group is kept: of rows with that identifier, any one, for repeated rows are alike. Null and
     empty texts are one group. Null identifiers come last: keep_id is null only if the whole group's are. An empty
-    table gives an empty table. Columns named like an output give way to it. A task holds at most its own range.
+    table gives an empty table. Columns named like an output give way to it. A task holds about HELD bytes of rows.
     """
     lean(docs.sparkSession)
     base = without(docs, *(c for c in OUT if c.lower() not in (id_col.lower(), text_col.lower())))
@@ -47,15 +50,18 @@ def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
     t = t.repartitionByRange("_tg_lead", "_tg_h", last).sortWithinPartitions("_tg_lead", "_tg_h", "_tg_norm", last)
     t = t.withColumn("_tg_sha", F.sha2(F.encode("_tg_norm", "UTF-8"), 256))
     id_type = t.schema["_tg_id"].dataType
-    out = T.StructType([t.schema[c] for c in carried] + [T.StructField("_tg_sha", T.StringType()), T.StructField("_tg_keep", id_type), T.StructField("_tg_n", T.LongType()), T.StructField("_tg_first", T.BooleanType()), T.StructField("_tg_edge", T.BooleanType()), T.StructField("_tg_part", T.IntegerType())])
+    out = T.StructType([t.schema[c] for c in carried] + [T.StructField("_tg_sha", T.StringType()), T.StructField("_tg_keep", id_type), T.StructField("_tg_n", T.LongType()), T.StructField("_tg_first", T.BooleanType()), T.StructField("_tg_run", T.LongType()), T.StructField("_tg_text", T.StringType())])
+
+    limit = HELD
 
     def runs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark import TaskContext
 
-        part, held, opening = TaskContext.get().partitionId(), [], None
+        part, held, opening, broken, many = TaskContext.get().partitionId(), [], None, None, 0
 
         def give(x: pa.Table, tail: bool) -> pa.RecordBatch:
-            nonlocal opening
+            """Whole runs, but those that other tables hold parts of: the first and the last of the range, broken ones."""
+            nonlocal opening, many
             n = x.num_rows
             h = np.asarray(x["_tg_h"])
             norm = x["_tg_norm"].combine_chunks()
@@ -66,9 +72,11 @@ def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
             sizes = np.diff(np.append(starts, n))
             of = np.repeat(np.arange(len(starts)), sizes)
             opening = h[0] if opening is None else opening
-            edge = (h == opening) | ((h == h[-1]) if tail else False)
+            edge = (h == opening) | ((h == h[-1]) if tail else False) | ((h == broken) if broken is not None else False)
             keep = x["_tg_id"].take(pa.array(starts)).take(pa.array(of)).combine_chunks()
-            cols = [x[c].combine_chunks() for c in (*carried, "_tg_sha")] + [keep, pa.array(sizes[of]), pa.array(new), pa.array(edge), pa.array(np.full(n, part, np.int32))]
+            text = pc.if_else(pa.array(edge & new), norm, pa.scalar(None, norm.type))
+            cols = [x[c].combine_chunks() for c in (*carried, "_tg_sha")] + [keep, pa.array(sizes[of]), pa.array(new), pa.array((part << 32) + many + of), text.cast(pa.string())]
+            many += len(starts)
             cols = [c.chunk(0) if isinstance(c, pa.ChunkedArray) else c for c in cols]
             return pa.RecordBatch.from_arrays(cols, names=out.names)
 
@@ -79,6 +87,10 @@ def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
             h = np.asarray(batch["_tg_h"])
             turn = np.flatnonzero(h != h[-1])
             if not len(turn) and (len(held) == 1 or held[-2]["_tg_h"][-1].as_py() == h[-1]):
+                if sum(b.nbytes for b in held) >= limit:
+                    broken = h[-1]
+                    yield give(pa.Table.from_batches(held).combine_chunks(), False)
+                    held = []
                 continue
             x = pa.Table.from_batches(held)
             cut = x.num_rows - (len(h) - (int(turn[-1]) + 1 if len(turn) else 0))
@@ -89,15 +101,15 @@ def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
             yield give(pa.Table.from_batches(held).combine_chunks(), True)
 
     parts = materialise(t.select(*carried, "_tg_sha", "_tg_norm", "_tg_h", "_tg_id").mapInArrow(runs, out))
-    # a few rows a range: what touches its ends
-    ends = parts.where("_tg_edge").groupBy(F.col("_tg_sha").alias("_tg_s"), F.col("_tg_part").alias("_tg_p")).agg(F.min("_tg_keep").alias("k"), F.max("_tg_n").alias("n"))
-    ends = ends.groupBy("_tg_s").agg(F.min("k").alias("_tg_k"), F.sum("n").alias("_tg_all"), F.min("_tg_p").alias("_tg_p0"))
-    j = parts.join(F.broadcast(ends), F.col("_tg_edge") & (F.col("_tg_sha") == F.col("_tg_s")), "left")
+    # a few rows a range and one for each HELD bytes of a broken run: equal by their whole texts
+    ends = parts.where("_tg_text IS NOT NULL").groupBy("_tg_text").agg(F.min("_tg_keep").alias("_tg_k"), F.sum("_tg_n").alias("_tg_all"), F.min("_tg_run").alias("_tg_first_run"), F.collect_list("_tg_run").alias("runs"))
+    ends = ends.select("_tg_k", "_tg_all", "_tg_first_run", F.explode("runs").alias("_tg_r"))
+    j = parts.join(F.broadcast(ends), F.col("_tg_run") == F.col("_tg_r"), "left")
     return j.select(
         *[F.col(f"`{c}`") for c in carried],
-        F.when(F.col("_tg_s").isNull(), F.col("_tg_keep")).otherwise(F.col("_tg_k")).alias("keep_id"),
+        F.when(F.col("_tg_r").isNull(), F.col("_tg_keep")).otherwise(F.col("_tg_k")).alias("keep_id"),
         F.coalesce("_tg_all", "_tg_n").alias("group_size"),
-        (F.col("_tg_first") & (F.coalesce("_tg_p0", "_tg_part") == F.col("_tg_part"))).alias("kept"),
+        (F.col("_tg_first") & (F.coalesce("_tg_first_run", "_tg_run") == F.col("_tg_run"))).alias("kept"),
         F.col("_tg_sha").alias("text_sha256"),
     )
 
