@@ -1,6 +1,8 @@
 """Exact dedup, sharding, mixing, packing, language ID: brute force and edge cases."""
 
 import hashlib
+import math
+import random
 import re
 from collections import Counter, defaultdict
 
@@ -54,6 +56,20 @@ def test_exact_dedup(spark, docs):
     check_exact([(d["doc_id"], d["text"]) for d in docs], [{**r.asDict(), "text": text[r["doc_id"]]} for r in got.collect()])
 
 
+def test_broken_runs(spark, monkeypatch):
+    """Runs that are passed on in pieces, and that lie in several ranges."""
+    from trigrid.llm import exact_dedup as module
+
+    monkeypatch.setattr(module, "HELD", 500)
+    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    spark.conf.set(key, "7")
+    try:
+        rows = [(i * 7919 % 3001, ["one  text", "one text", "x" * 3000, "x" * 3001, f"own {i}", None][i % 6]) for i in range(3000)] + [(None, "one text")] * 40
+        check_exact(rows, exact_dedup(spark.createDataFrame(rows, "doc_id long, text string").repartition(5)).collect())
+    finally:
+        spark.conf.unset(key)
+
+
 def check_shards(rows, got, shards):
     assert len(got) == len(rows)
     size = Counter()
@@ -144,6 +160,70 @@ def test_mixing(spark, docs):
         assert abs(sum(r["taken"] for r in mine) - mine[0]["target"]) <= 100
 
 
+def brute_mix(rows):
+    """(doc_id, source, size) rows -> (row, copies) of the mix, one document after another."""
+    size = Counter()
+    for _, s, n in rows:
+        size[s] += n
+    goal, seen, out = {s: 2.0 * size[s] if abs(x - 2 * size[s]) < 1e-6 else x for s, x in level(size).items()}, Counter(), []
+    ranked = {}
+    for d, s, n in rows:
+        k = seen[d, s, n]
+        seen[d, s, n] += 1
+        r = goal[s] / size[s] if size[s] else 0.0
+        p = r - math.floor(r)
+        name = ",".join("~" if x is None else str(x) for x in (d, s, n, k, 7))
+        u = (int(hashlib.md5(name.encode()).hexdigest()[:13], 16) + 0.5) / 2**52
+        odds = (u / (1 - u)) / (p / (1 - p)) if p > 0 else None
+        ranked.setdefault(s, []).append([odds / (1 + odds) if p > 0 else None, d, n, math.floor(r)])
+    for s, mine in ranked.items():
+        r = goal[s] / size[s] if size[s] else 0.0
+        rest = goal[s] - math.floor(r) * size[s]
+        order = sorted((x for x in mine if x[0] is not None), key=lambda x: x[0])
+        got, full, left = 0, False, []
+        for x in order:
+            full = full or got + x[2] > rest
+            if full:
+                left.append(x)
+            else:
+                got += x[2]
+                x[3] += 1
+        near = [x for x in left if x[2] > 0 and abs(rest - got - x[2]) < rest - got]
+        if near:
+            min(near, key=lambda x: (abs(rest - got - x[2]), x[0]))[3] += 1
+        out += [(str(x[1]), str(s), x[2], x[3]) for x in mine]
+    return sorted(out)
+
+
+def test_mixing_brute_force(spark, monkeypatch):
+    """Rank by rank, with repeated rows, null sources and identifiers, and cells refined more than once."""
+    from trigrid.llm import mixing
+
+    rng = random.Random(5)
+    rows = [(i, rng.choice(["a", "b", "c", "é", None, "zero"]), rng.choice([0, 1, 7, 50, 300])) for i in range(900)]
+    rows = [(d, s, 0 if s == "zero" else n) for d, s, n in rows]
+    rows += [(5000, "b", 50)] * 400 + [(5001, "b", 50)] * 3 + [(None, None, 7)] * 20 + [(None, "a", 1)]
+    rows += [(6000 + i, "big", 40 + i % 5) for i in range(200)]
+    for few in (mixing.FEW, 1):
+        monkeypatch.setattr(mixing, "FEW", few)
+        monkeypatch.setattr(mixing, "BITS", 12 if few > 1 else 2)
+        df = spark.createDataFrame(rows, "doc_id long, source string, size long").repartition(5)
+        got = mix(df, text_col=None).collect()
+        assert sorted((str(r["doc_id"]), str(r["source"]), r["size"], r["copies"]) for r in got) == brute_mix(rows)
+    taken, goal = Counter(), {}
+    for r in got:
+        taken[r["source"]] += r["taken"]
+        goal[r["source"]] = r["target"]
+    assert all(abs(taken[s] - goal[s]) <= 25 for s in goal), (taken, goal)
+
+
+def test_mixing_repeated(spark):
+    """Forty equal rows: the mix comes as near to the target as one row allows."""
+    rows = [(1, "w " * 50, "b")] * 40 + [(i, "w " * 60, "a") for i in range(2, 120)]
+    got = mix(spark.createDataFrame(rows, "doc_id long, text string, source string").repartition(3)).where("source = 'b'").collect()
+    assert len(got) == 40 and abs(sum(r["taken"] for r in got) - got[0]["target"]) <= 25
+
+
 def bfd(lengths, capacity):
     """One piece after another, over a plain list."""
     bins = []
