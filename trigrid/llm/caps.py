@@ -4,9 +4,11 @@ A filter is a unit direction; a vector passes those with which its inner product
 pairs from two random codes on the halves of the (randomly rotated) space, so a vector's list of filters is decoded
 from two short lists of inner products, without visiting the other filters. How a vector's mass falls on the halves
 decides how many filters it passes, so there are several independent rotations with codes of their own: turned at
-random, each pair is as any other, and their number follows from the share of drawn pairs that each one misses. Vectors
-that share a filter are compared exactly; links leave a task as a forest. Within each class so found all links are then
-counted exactly.
+random, each pair is as any other, and their number follows from the share of drawn pairs that each one misses.
+
+Vectors that share a filter are compared by their components in 8 bits, with a bound on what that loses, so that no
+pair at the threshold fails; what hangs together so is a candidate class. Its members then meet in doubles, which
+decides the links and counts them. Eight bits, not doubles, are copied once a filter.
 """
 
 from __future__ import annotations
@@ -22,52 +24,24 @@ from pyspark.sql import functions as F
 
 from .graph import components
 from .groups import block_pairs, dealt, forest, rows_of, units
-from .scratch import materialise, without
+from .scratch import drop, materialise, shuffle_partitions, without
 
 OUT = ("n_links", "component_id", "kept")
-#: Recalls that the law of tuned() is asked for in one rotation, the cheapest first, and rotations at most.
-EACH, TURNS = (0.8, 0.95, 0.9995), 64
-
+RECALL = 0.9999
+#: What settings are tried: unrelated vectors a filter holds, filters a vector passes in one rotation; rotations at
+#: most, and the largest share of all vectors that a filter may hold.
+OCCUPANCY, LISTS, TURNS, WIDEST = (32, 128, 512), (1, 2, 4, 8), 100, 0.25
+#: Vectors that are compared in one place; pairs of blocks beyond.
+BLOCK = 2048
 
-def tuned(n: int, dim: int, threshold: float, recall: float = 0.9995, occupancy: int = 8) -> tuple[float, int]:
-    """Vectors, dimensions -> (alpha, codewords a half) of one rotation, by a rough law; settled() measures it.
 
-    alpha lets a filter hold `occupancy` unrelated vectors, whatever n; the codes then have as many words as make a
-    pair at the threshold miss all common filters with probability 1 - recall. Inner products of unit vectors with a
-    random direction count as normal with variance 1/dim.
-    """
-    if n <= 64 * occupancy:
-        return -2.0, 1  # one filter that all pass
-    if dim < 24:
-        return _sampled(n, dim, threshold, recall, occupancy)
-    share = min(0.02, max(1e-9, occupancy / max(n, 1)))
-    lo, hi = 0.0, 40.0
-    for _ in range(100):
-        mid = (lo + hi) / 2
-        lo, hi = (mid, hi) if 0.5 * math.erfc(mid / math.sqrt(2)) > share else (lo, mid)
-    z = lo
-    t = np.linspace(z, z + 8, 4001)
-    w = np.exp(-(t**2) / 2)
-    side = math.sqrt(max(1e-9, 1 - threshold**2))
-    both = np.array([0.5 * math.erfc((z - threshold * a) / side / math.sqrt(2)) for a in t])
-    also = float((w * both).sum() / w.sum())
-    filters = math.log(1 / (1 - recall)) / also
-    return z / math.sqrt(dim), max(4, math.ceil(math.sqrt(1.25 * filters / share)))
-
-
-def _sampled(n: int, dim: int, threshold: float, recall: float, occupancy: int) -> tuple[float, int]:
-    """The same where a normal law is too far off: by drawing pairs at the threshold, and directions."""
-    share = max(2e-3, occupancy / n)
-    _, one, two = codes(dim, 64)
-    c = np.concatenate([np.repeat(one, 64, 0), np.tile(two, (64, 1))], 1) / math.sqrt(2) if dim > 1 else one
-    u, v = _pairs(800, dim, threshold, 1)
-    a, b = u @ c.T, v @ c.T
-    for alpha in np.quantile(a, 1 - share * 2.0 ** np.arange(12)[share * 2.0 ** np.arange(12) < 0.9]):
-        # of directions drawn afresh, the worst drawn pairs decide
-        both = np.quantile(((a >= alpha) & (b >= alpha)).mean(1), 0.02)
-        if both > 0:
-            return float(alpha), max(4, math.ceil(math.sqrt(2 * math.log(1 / (1 - recall)) / both)))
-    return -2.0, 1
+def cap_height(share: float, dim: int) -> float:
+    """The alpha for which a cap holds that share of the sphere: angles lie as sin(angle) ** (dim - 2)."""
+    if dim < 2:
+        return 0.0
+    angle = np.linspace(0, math.pi, 200_001)
+    mass = np.cumsum(np.sin(angle) ** (dim - 2))
+    return math.cos(float(np.interp(share, mass / mass[-1], angle)))
 
 
 def _pairs(n: int, dim: int, threshold: float, seed: int) -> tuple[np.ndarray, np.ndarray]:
@@ -78,27 +52,40 @@ def _pairs(n: int, dim: int, threshold: float, seed: int) -> tuple[np.ndarray, n
     return u, threshold * u + math.sqrt(max(0.0, 1 - threshold**2)) * w / np.maximum(np.linalg.norm(w, axis=1, keepdims=True), 1e-9)
 
 
-def settled(n: int, dim: int, threshold: float, recall: float = 0.9995) -> tuple[float, int, list[int]]:
-    """Vectors, dimensions -> (alpha, codewords a half, seeds of the rotations).
+def _missed(u: np.ndarray, v: np.ndarray, alpha: float, words: int, seed: int) -> tuple[float, float]:
+    """The share of the pairs (u, v) that have no common filter in a rotation, and the filters that a vector passes."""
+    one, two = decode(u, alpha, words, seed), decode(v, alpha, words, seed)
+    apart = sum(not np.intersect1d(a, b, assume_unique=True).size for a, b in zip(one, two, strict=True))
+    return min(1.0, (apart + 1) / len(u)), float(np.mean([len(a) for a in one]))
 
-    Rotations are added until the product of the shares of drawn pairs at the threshold that have no common filter in
-    each is at most 1 - recall. A rotation that is random turns any pair into a drawn one, so the product holds for
-    each pair, however lopsided. Where too few pairs ever meet, one filter that all pass compares all.
+
+def settled(n: int, dim: int, threshold: float, recall: float = RECALL) -> tuple[float, int, list[int]]:
+    """Vectors, dimensions -> (alpha, codewords a half, seeds of the rotations), in the same way for any of them.
+
+    Settings are judged by drawn pairs at the threshold; the one that needs the least work is taken (rows that move,
+    comparisons, decoding). Rotations are then added until the product of the shares of drawn pairs that have no common
+    filter in each is at most 1 - recall. A rotation that is random turns any pair into a drawn one, so the product
+    holds for each pair, however lopsided. Should no setting get there in TURNS rotations, caps are widened.
     """
-    for each in EACH:
-        alpha, words = tuned(n, dim, threshold, min(each, recall))
-        if words == 1:
-            break
-        u, v = _pairs(1000, dim, threshold, 2)
+    u, v = _pairs(300, dim, threshold, 1)
+    tried, widest = [], WIDEST
+    for share in sorted({min(widest, o / max(n, 1)) for o in OCCUPANCY}):
+        alpha = cap_height(share, dim)
+        for lists in LISTS:
+            words = max(2, math.ceil(math.sqrt(lists / share)))
+            miss, passed = _missed(u, v, alpha, words, 4)
+            turns = math.log(1 - recall) / math.log(min(miss, 0.999))
+            tried.append((turns * (passed * (100_000 + share * n * dim) + words * (2 * dim + 60)), turns, alpha, words))
+    _, turns, alpha, words = min((t for t in tried if t[1] <= 0.8 * TURNS), default=min(tried, key=lambda t: t[1]))
+    u, v = _pairs(1000, dim, threshold, 2)
+    while True:
         missed, seeds = 1.0, []
         while missed > 1 - recall and len(seeds) < TURNS:
             seeds.append(5 + len(seeds))
-            lists = zip(decode(u, alpha, words, seeds[-1]), decode(v, alpha, words, seeds[-1]), strict=True)
-            apart = sum(not np.intersect1d(a, b, assume_unique=True).size for a, b in lists)
-            missed *= min(1.0, (apart + 1) / len(u))
+            missed *= _missed(u, v, alpha, words, seeds[-1])[0]
         if missed <= 1 - recall:
             return alpha, words, seeds
-    return -2.0, 1, [5]
+        alpha -= 0.1
 
 
 @lru_cache(maxsize=128)
@@ -132,90 +119,104 @@ def decode(x: np.ndarray, alpha: float, words: int, seed: int = 5) -> list[np.nd
     return out
 
 
-def _linked(x: np.ndarray, threshold: float):
-    return lambda rows, cols: x[rows] @ x[cols].T >= threshold
+def rough(x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Unit vectors -> (their components in 8 bits, and the length of what that loses with a little over; scales as two
+    32-bit floats in the last 8 bytes): x = scale * q + lost."""
+    scale = (np.abs(x).max(1, keepdims=True) / 127).astype("<f4")
+    q = np.rint(x / scale).clip(-127, 127).astype(np.int8)
+    lost = (np.linalg.norm(x - q * scale.astype(float), axis=1, keepdims=True) * 1.0001 + 1e-6).astype("<f4")
+    return q, np.concatenate([scale, lost], 1)
+
 
+def perhaps(packed: np.ndarray, threshold: float):
+    """Rows as packed from rough() -> a test of rows against columns that no pair at the threshold fails."""
+    tail = np.ascontiguousarray(packed[:, -8:]).view("<f4")
+    x = packed[:, :-8].view(np.int8).astype(np.float32) * tail[:, :1]
+    lost = tail[:, 1]
+    # |<x, y> - <x', y'>| <= |x - x'| + |y - y'| + |x - x'| |y - y'|, and some for 32-bit sums
+    return lambda r, c: x[r] @ x[c].T >= threshold - 1e-5 - (lost[r][:, None] + lost[c][None, :] + lost[r][:, None] * lost[c][None, :])
 
-def near_vectors(vectors: DataFrame, id_col: str = "vec_id", vector_col: str = "embedding", threshold: float = 0.9, recall: float = 0.9995) -> DataFrame:
+
+def near_vectors(vectors: DataFrame, id_col: str = "vec_id", vector_col: str = "embedding", threshold: float = 0.9, recall: float = RECALL) -> DataFrame:
     """The rows of vectors with n_links, component_id, kept.
 
     Null vectors, zero vectors and those with null or non-finite components link with nothing: they are classes of
     their own. Vectors of different lengths never link. Equal vectors (repeated rows too) link with each other.
     component_id is the smallest identifier reachable, null only if there is none; kept says whether it is the row's
-    own, so of rows with the same identifier all are kept. Counts come by class of equal vectors; a vector's links
-    with vectors of its own component are all counted. An empty table gives an empty table; outputs replace columns
-    named like them.
+    own, so of rows with the same identifier all are kept. Counts come by class of equal vectors. An empty table gives
+    an empty table; outputs replace columns named like them.
     """
     base = without(vectors, *OUT)
     v = F.transform(F.col(vector_col), lambda c: c.cast("double"))
     good = F.col(vector_col).isNotNull() & F.coalesce(F.forall(v, lambda c: c.isNotNull() & ~F.isnan(c) & (F.abs(c) < float("inf"))), F.lit(False)) & F.coalesce(F.exists(v, lambda c: c != 0), F.lit(False))
-    key = F.concat(F.unhex(F.lpad(F.hex(F.size("_tg_v")), 8, "0")), F.unhex(F.md5(F.to_json(F.struct("_tg_v")).cast("binary"))))
-    t = base.withColumn("_tg_v", F.when(good, v)).withColumn("_tg_node", F.when(F.col("_tg_v").isNotNull(), key))
-    node = t.where("_tg_node IS NOT NULL").select(F.col(id_col).alias("id"), F.col("_tg_v").alias("v"), F.col("_tg_node").alias("node"))
-    reps = materialise(node.groupBy("node").agg(F.min("id").alias("id"), F.count("*").alias("copies"), F.first("v").alias("v")))
+    t = base.withColumn("_tg_v", F.when(good, v))
+    same = t.where("_tg_v IS NOT NULL").groupBy(F.col("_tg_v").alias("v")).agg(F.min(id_col).alias("id"), F.count("*").alias("copies"))
+    reps = materialise(same.withColumn("node", F.monotonically_increasing_id()))
     dims = [(r[0], r[1]) for r in reps.groupBy(F.size("v")).count().orderBy(F.desc("count")).collect()]
     settings = {d: settled(n, d, threshold, recall) for d, n in dims}
-    schema = "node binary, g binary, x binary"
 
     def filters(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for lo in range(0, batch.num_rows, 512):
                 part = batch.slice(lo, 512)
-                vs = part["v"].to_pylist()
-                sizes = np.array([len(v) for v in vs])
+                sizes = np.asarray(part["v"].value_lengths())
                 for dim in np.unique(sizes):
                     at = np.flatnonzero(sizes == dim)
-                    x = np.array([vs[i] for i in at], float)
-                    x /= np.abs(x).max(1, keepdims=True)  # no overflow in the norm
-                    x /= np.linalg.norm(x, axis=1, keepdims=True)
+                    x = unit_rows(part["v"].take(pa.array(at)), int(dim))
                     alpha, words, seeds = settings[int(dim)]
                     turns = [decode(x, alpha, words, seed) for seed in seeds]
-                    lists = [np.concatenate([f + k * words * words for k, f in enumerate(fs)]) for fs in zip(*turns, strict=True)]
-                    of = np.repeat(np.arange(len(at)), [len(f) for f in lists])
-                    g = np.concatenate([np.zeros(0, np.int64), *lists]).astype(">i8")
-                    key = np.concatenate([np.full(len(g), dim, ">i8")[:, None].view(np.uint8).reshape(len(g), 8), g[:, None].view(np.uint8).reshape(len(g), 8)], 1)
-                    raw = [r.tobytes() for r in x]
-                    yield pa.RecordBatch.from_arrays([part["node"].take(pa.array(at[of])), pa.array([k.tobytes() for k in key], pa.binary()), pa.array([raw[i] for i in of], pa.binary())], names=["node", "g", "x"])
+                    of = np.concatenate([np.repeat(at, [len(f) for f in fs]) for fs in turns])
+                    g = np.concatenate([f + k * words * words for k, fs in enumerate(turns) for f in fs] or [np.zeros(0, np.int64)])
+                    yield pa.RecordBatch.from_arrays([part["node"].take(pa.array(of)), pa.array(np.full(len(g), dim, np.int32)), pa.array(g)], names=["node", "dim", "f"])
 
-    listed = materialise(reps.mapInArrow(filters, schema))
-    sizes = listed.groupBy("g").agg(F.count("*").alias("n")).where("n > 1")
-    members = block_pairs(listed.join(sizes, "g"))
+    def shorter(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            sizes = np.asarray(batch["v"].value_lengths())
+            for dim in np.unique(sizes):
+                at = pa.array(np.flatnonzero(sizes == dim))
+                q, tail = rough(unit_rows(batch["v"].take(at), int(dim)))
+                raw = np.concatenate([q.view(np.uint8), tail.view(np.uint8).reshape(len(q), 8)], 1)
+                yield pa.RecordBatch.from_arrays([batch["node"].take(at), pa.array([r.tobytes() for r in raw], pa.binary())], names=["node", "x"])
+
+    vec = reps.select("node", "v")
+    listed = materialise(vec.mapInArrow(filters, "node bigint, dim int, f bigint"))
+    sizes = listed.groupBy("dim", "f").agg(F.count("*").alias("n")).where("n > 1")
+    # eight bits a component join in after the filters with one vector are gone
+    members = listed.join(sizes, ["dim", "f"]).join(vec.mapInArrow(shorter, "node bigint, x binary"), "node")
+    members = block_pairs(members.select(F.struct("dim", "f").alias("g"), "n", "node", "x"), BLOCK)
+    members = members.select("g.dim", "g.f", "bi", "bj", "node", "x").repartition(shuffle_partitions(t.sparkSession), "dim", "f", "bi", "bj").sortWithinPartitions("dim", "f", "bi", "bj")
 
     def edges(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for t, starts in units(batches):
-            nodes = t["node"].combine_chunks()
-            src, dst = [], []
+        for t, starts in units(batches, ("dim", "f", "bi", "bj")):
+            root = np.arange(t.num_rows)
             for a, b in zip(starts[:-1], starts[1:], strict=False):
-                if b - a < 2:
-                    continue
-                root = forest(_linked(rows_of(t["x"].slice(a, b - a), "f8"), threshold), b - a)
-                hit = np.flatnonzero(root != np.arange(b - a))
-                src.append(hit + a)
-                dst.append(root[hit] + a)
-            if src:
-                yield pa.RecordBatch.from_arrays([_take(nodes, np.concatenate(src)), _take(nodes, np.concatenate(dst))], names=["src", "dst"])
-
-    found = dealt(members.select("g", "bi", "bj", "node", "x")).mapInArrow(edges, "src binary, dst binary")
-    labels = materialise(components(found))
+                root[a:b] = a + forest(perhaps(rows_of(t["x"].slice(a, b - a), "u1"), threshold), b - a)
+            hit = np.flatnonzero(root != np.arange(len(root)))
+            nodes = np.asarray(t["node"].combine_chunks())
+            yield pa.RecordBatch.from_arrays([pa.array(nodes[hit]), pa.array(nodes[root[hit]])], names=["src", "dst"])
+
+    labels = materialise(components(members.mapInArrow(edges, "src bigint, dst bigint")))
+    drop(listed)
     in_class = labels.groupBy("label").agg(F.count("*").alias("n"))
-    vec = reps.select("node", "copies", "id", "v").join(labels, "node").join(in_class, "label").withColumnRenamed("label", "g")
-    within = block_pairs(vec)
+    within = block_pairs(reps.select("node", "copies", "v").join(labels, "node").join(in_class, "label").withColumnRenamed("label", "g"), BLOCK)
 
-    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for t, starts in units(batches):
+            nodes = np.asarray(t["node"].combine_chunks())
             for a, b in zip(starts[:-1], starts[1:], strict=False):
                 u = t.slice(a, b - a)
-                x = np.array(u["v"].to_pylist(), float)
-                x /= np.abs(x).max(1, keepdims=True)
-                x /= np.linalg.norm(x, axis=1, keepdims=True)
-                yield pa.RecordBatch.from_arrays([_take(u["node"].combine_chunks(), np.arange(b - a)), pa.array(unit_counts(lambda r, c, x=x: x[r] @ x[c].T >= threshold, u))], names=["node", "n"])
-
-    counts = dealt(within.select("g", "bi", "bj", "own", "node", "copies", "v")).mapInArrow(count, "node binary, n bigint")
-    counts = counts.groupBy("node").agg(F.sum("n").alias("_tg_n"))
-    names = reps.join(labels, "node").groupBy("label").agg(F.min("id").alias("_tg_c"))
-    facts = reps.select("node", "copies", "id").join(labels, "node", "left").join(names, "label", "left").join(counts, "node", "left")
-    facts = facts.select(F.col("node").alias("_tg_k"), F.col("copies").alias("_tg_copies"), F.coalesce("_tg_c", "id").alias("_tg_c"), F.coalesce("_tg_n", F.lit(0)).alias("_tg_n"))
-    j = t.join(facts, F.col("_tg_node") == F.col("_tg_k"), "left")
+                x = unit_rows(u["v"].combine_chunks(), len(u["v"][0]))
+                links = lambda r, c, x=x: x[r] @ x[c].T >= threshold
+                yield pa.RecordBatch.from_arrays([pa.array(nodes[a:b]), pa.array(nodes[a + forest(links, b - a)]), pa.array(unit_counts(links, u))], names=["src", "dst", "n"])
+
+    links = materialise(dealt(within.select("g", "bi", "bj", "own", "node", "copies", "v")).mapInArrow(compare, "src bigint, dst bigint, n bigint"))
+    counts = links.groupBy(F.col("src").alias("node")).agg(F.sum("n").alias("_tg_n"))
+    classes = materialise(components(links.select("src", "dst")))
+    names = reps.join(classes, "node").groupBy("label").agg(F.min("id").alias("_tg_c"))
+    facts = reps.join(classes, "node", "left").join(names, "label", "left").join(counts, "node", "left")
+    # written, so that Spark can split the rows of a vector that is there very often
+    facts = materialise(facts.select(F.col("v").alias("_tg_k"), F.col("copies").alias("_tg_copies"), F.coalesce("_tg_c", "id").alias("_tg_c"), F.coalesce("_tg_n", F.lit(0)).alias("_tg_n")))
+    j = t.join(facts, F.col("_tg_v") == F.col("_tg_k"), "left")
     return j.select(
         *[F.col(f"`{c}`") for c in base.columns],
         F.coalesce(F.col("_tg_n") + F.col("_tg_copies") - 1, F.lit(0)).cast("long").alias("n_links"),
@@ -224,6 +225,13 @@ def near_vectors(vectors: DataFrame, id_col: str = "vec_id", vector_col: str = "
     )
 
 
+def unit_rows(vectors: pa.Array, dim: int) -> np.ndarray:
+    """Lists of that length -> a matrix of unit rows."""
+    x = np.asarray(vectors.flatten(), float).reshape(-1, dim)
+    x = x / np.abs(x).max(1, keepdims=True)  # no overflow in the norm
+    return x / np.linalg.norm(x, axis=1, keepdims=True)
+
+
 def _take(x, at: np.ndarray) -> pa.Array:
     x = x.take(pa.array(at))
     return pa.concat_arrays(x.chunks) if isinstance(x, pa.ChunkedArray) else x
