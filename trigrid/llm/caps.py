@@ -98,8 +98,8 @@ def codes(dim: int, words: int, seed: int = 5) -> tuple[np.ndarray, np.ndarray,
     return turn, one / np.linalg.norm(one, axis=1, keepdims=True), two / np.linalg.norm(two, axis=1, keepdims=True)
 
 
-def decode(x: np.ndarray, alpha: float, words: int, seed: int = 5) -> list[np.ndarray]:
-    """Unit vectors -> the numbers of all filters of a rotation that each one passes."""
+def passed(x: np.ndarray, alpha: float, words: int, seed: int = 5) -> tuple[np.ndarray, np.ndarray]:
+    """Unit vectors -> (row, number) of all filters of a rotation that they pass, row by row."""
     dim = x.shape[1]
     turn, one, two = codes(dim, words, seed)
     y = x @ turn
@@ -107,16 +107,31 @@ def decode(x: np.ndarray, alpha: float, words: int, seed: int = 5) -> list[np.nd
     a = y[:, :half] @ one.T
     b = y[:, half:] @ two.T if dim > 1 else np.zeros((len(x), words))
     need = alpha * math.sqrt(2)
-    order = np.argsort(-b, axis=1)
-    out = []
-    for i in range(len(x)):
-        down = b[i, order[i]]
-        first = np.flatnonzero(a[i] + down[0] >= need)
-        many = np.searchsorted(-down, a[i, first] - need, "right")
-        of = np.repeat(first, many)
-        at = np.arange(len(of)) - np.repeat(np.cumsum(many) - many, many)
-        out.append(of * words + order[i, at])
-    return out
+    of, number = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
+    # words of the first half that the best one of the second can complete
+    row, first = np.nonzero(a + b.max(1, keepdims=True) >= need)
+    step = max(1, (1 << 22) // words)
+    for lo in range(0, len(row), step):
+        r, f = row[lo : lo + step], first[lo : lo + step]
+        at, second = np.nonzero(b[r] >= need - a[r, f][:, None])
+        of.append(r[at])
+        number.append(f[at] * words + second)
+    return np.concatenate(of), np.concatenate(number)
+
+
+def decode(x: np.ndarray, alpha: float, words: int, seed: int = 5) -> list[np.ndarray]:
+    """Unit vectors -> for each the numbers of all filters of a rotation that it passes."""
+    of, number = passed(x, alpha, words, seed)
+    return np.split(number, np.cumsum(np.bincount(of, minlength=len(x)))[:-1])
+
+
+def linked_forest(links, n: int, step: int = 512) -> np.ndarray:
+    """forest() where most members link with no other: those are set aside first."""
+    some = np.concatenate([np.flatnonzero(links(r, np.arange(n)).sum(1) > 1) + r[0] for r in (np.arange(lo, min(n, lo + step)) for lo in range(0, n, step))] or [np.zeros(0, np.int64)])
+    root = np.arange(n)
+    if len(some):
+        root[some] = some[forest(lambda r, c: links(some[r], some[c]), len(some))]
+    return root
 
 
 def rough(x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -164,9 +179,9 @@ def near_vectors(vectors: DataFrame, id_col: str = "vec_id", vector_col: str = "
                     at = np.flatnonzero(sizes == dim)
                     x = unit_rows(part["v"].take(pa.array(at)), int(dim))
                     alpha, words, seeds = settings[int(dim)]
-                    turns = [decode(x, alpha, words, seed) for seed in seeds]
-                    of = np.concatenate([np.repeat(at, [len(f) for f in fs]) for fs in turns])
-                    g = np.concatenate([f + k * words * words for k, fs in enumerate(turns) for f in fs] or [np.zeros(0, np.int64)])
+                    turns = [passed(x, alpha, words, seed) for seed in seeds]
+                    of = np.concatenate([at[rows] for rows, _ in turns])
+                    g = np.concatenate([f + k * words * words for k, (_, f) in enumerate(turns)])
                     yield pa.RecordBatch.from_arrays([part["node"].take(pa.array(of)), pa.array(np.full(len(g), dim, np.int32)), pa.array(g)], names=["node", "dim", "f"])
 
     def shorter(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -190,7 +205,7 @@ def near_vectors(vectors: DataFrame, id_col: str = "vec_id", vector_col: str = "
         for t, starts in units(batches, ("dim", "f", "bi", "bj")):
             root = np.arange(t.num_rows)
             for a, b in zip(starts[:-1], starts[1:], strict=False):
-                root[a:b] = a + forest(perhaps(rows_of(t["x"].slice(a, b - a), "u1"), threshold), b - a)
+                root[a:b] = a + linked_forest(perhaps(rows_of(t["x"].slice(a, b - a), "u1"), threshold), b - a)
             hit = np.flatnonzero(root != np.arange(len(root)))
             nodes = np.asarray(t["node"].combine_chunks())
             yield pa.RecordBatch.from_arrays([pa.array(nodes[hit]), pa.array(nodes[root[hit]])], names=["src", "dst"])
@@ -207,7 +222,7 @@ def near_vectors(vectors: DataFrame, id_col: str = "vec_id", vector_col: str = "
                 u = t.slice(a, b - a)
                 x = unit_rows(u["v"].combine_chunks(), len(u["v"][0]))
                 links = lambda r, c, x=x: x[r] @ x[c].T >= threshold
-                yield pa.RecordBatch.from_arrays([pa.array(nodes[a:b]), pa.array(nodes[a + forest(links, b - a)]), pa.array(unit_counts(links, u))], names=["src", "dst", "n"])
+                yield pa.RecordBatch.from_arrays([pa.array(nodes[a:b]), pa.array(nodes[a + linked_forest(links, b - a)]), pa.array(unit_counts(links, u))], names=["src", "dst", "n"])
 
     links = materialise(dealt(within.select("g", "bi", "bj", "own", "node", "copies", "v")).mapInArrow(compare, "src bigint, dst bigint, n bigint"))
     counts = links.groupBy(F.col("src").alias("node")).agg(F.sum("n").alias("_tg_n"))
