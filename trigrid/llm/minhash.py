@@ -18,10 +18,12 @@ from pyspark.sql import functions as F
 
 from .caps import _take, unit_counts
 from .graph import components
-from .groups import block_pairs, dealt, forest, rows_of, units
+from .groups import BLOCK, block_pairs, dealt, forest, rows_of, units
 from .scratch import lean, materialise, without
 
 N_GRAM, THRESHOLD, RECALL = 5, 0.8, 0.9999
+#: Bytes of texts that one block of a candidate class has, about; classes of long texts are cut into more blocks.
+BLOCK_BYTES = 1 << 26
 _SPACE = np.zeros(256, bool)
 _SPACE[[32, 9, 10, 11, 12, 13]] = True
 _BASE = np.uint64(0x9E3779B97F4A7C15 | 1)
@@ -262,13 +264,15 @@ def jaccard_join(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     text = F.encode(F.col(text_col), "UTF-8")
     mark = F.xxhash64(F.col(text_col))
     own = {f"_tg_c{k}": base[f"`{c}`"] for k, c in enumerate(carry)}
-    every = base.select(*[c.alias(k) for k, c in own.items()], F.col(id_col).alias("id"), mark.alias("mark"), F.monotonically_increasing_id().alias("row"), text.alias("_tg_text"))
+    every = base.select(*[c.alias(k) for k, c in own.items()], F.col(id_col).alias("id"), mark.alias("mark"), F.monotonically_increasing_id().alias("row"), F.octet_length(F.col(text_col)).cast("long").alias("size"), text.alias("_tg_text"))
     every = materialise(signed(every, n, bands, rows))
-    light = every.where("node IS NOT NULL").select("node", F.struct(F.col("id").isNull().alias("no"), "id", "row", "mark").alias("r"), "sig", "keys")
-    reps = materialise(light.groupBy("node").agg(F.min("r").alias("r"), F.count("*").alias("copies"), F.first("sig").alias("sig"), F.first("keys").alias("keys")))
+    light = every.where("node IS NOT NULL").select("node", F.struct(F.col("id").isNull().alias("no"), "id", "row", "mark").alias("r"), "sig", "keys", "size")
+    reps = materialise(light.groupBy("node").agg(F.min("r").alias("r"), F.count("*").alias("copies"), F.first("sig").alias("sig"), F.first("keys").alias("keys"), F.max("size").alias("size")))
     labels = candidate_classes(reps, bands, rows, threshold)
-    of = labels.groupBy("label").agg(F.count("*").alias("n"))
-    want = labels.join(of, "label").join(reps.select("node", "r", "copies"), "node").select("node", "copies", "n", F.col("label").alias("g"), F.col("r.id").alias("w_id"), F.col("r.mark").alias("w_mark"))
+    known = labels.join(reps.select("node", "r", "copies", "size"), "node")
+    # as many blocks as members and their bytes ask for
+    of = known.groupBy("label").agg(F.greatest(F.count("*"), F.ceil(F.sum("size") * F.lit(BLOCK / BLOCK_BYTES))).alias("n"))
+    want = known.join(of, "label").select("node", "copies", "n", F.col("label").alias("g"), F.col("r.id").alias("w_id"), F.col("r.mark").alias("w_mark"))
     source = base.select(F.col(id_col).alias("s_id"), mark.alias("s_mark"), text.alias("text"))
     # rows with the same identifier and text are alike; one of them is enough
     met = source.join(want, source["s_id"].eqNullSafe(want["w_id"]) & (source["s_mark"] == want["w_mark"])).select("node", "copies", "n", "g", "text")
