@@ -10,7 +10,7 @@ import pytest
 
 from tests.llm.helpers import EDGE, crc, edge, none, words
 from trigrid.llm.exact_dedup import exact_dedup, op3_exact_dedup
-from trigrid.llm.langid import identify, learn, op10_language_id, train
+from trigrid.llm.langid import BUCKETS, held_out, identify, learn, op10_language_id, train
 from trigrid.llm.mixing import mix, op6_mixing, targets
 from trigrid.llm.packing import Tightest, pack_documents, plan, op7_packing
 from trigrid.llm.sharding import op4_sharding, shard_documents
@@ -312,3 +312,44 @@ def test_language_id(spark, docs):
     # a text longer than one look counts whole
     m = train([("a", b"aba bab " * 50), ("b", b"xyx yxy " * 50)] * 10)
     assert m.labels[int(m.logits(b"aba bab " * 10 + b"xyx yxy " * 400_000).argmax())] == "b"
+
+
+def naive_scores(model, text):
+    """One n-gram after another, in whole numbers."""
+    fold = lambda b: ord(chr(b).lower()) if b < 128 and chr(b).isalpha() else (32 if b < 128 else b)
+    x = [fold(b) for b in b" " + text.encode() + b" "] + [32] * 3
+    low = (1 << 32) - 1
+
+    def bucket(h, k):
+        h = h * k & low
+        return ((h ^ (h >> 15)) * 0x85EBCA6B & low) >> 17
+
+    total, n = [0.0] * len(model.labels), 2 * (len(x) - 3)
+    for i in range(len(x) - 3):
+        tri = (x[i] << 16) | (x[i + 1] << 8) | x[i + 2]
+        four = (tri << 8 & low) | x[i + 3]
+        for f in (bucket(tri, 0x9E3779B1), bucket(four, 0xC2B2AE3D)):
+            assert f < BUCKETS
+            for c in range(len(total)):
+                total[c] += float(model.table[f, c])
+    z = [(t / n + float(b)) / model.temperature for t, b in zip(total, model.bias)]
+    e = [math.exp(v - max(z)) for v in z]
+    return [v / sum(e) for v in e]
+
+
+def test_language_brute_force(spark, docs):
+    """Predictions of a trained model, against one n-gram after another; every label is learned, however rare."""
+    model = learn(spark.read.parquet(f"{SF}/documents.parquet"), where=~held_out())
+    got = {r["doc_id"]: r for r in op10_language_id(spark, SF).collect()}
+    assert len(got) == len(docs)
+    for d in docs:
+        r = got[d["doc_id"]]
+        if d["text"] is None or not re.search(r"[^\W\d_]", d["text"]):
+            assert (r["lang_pred"], r["score"]) == ("und", 0.0)
+            continue
+        p = naive_scores(model, d["text"])
+        best = max(range(len(p)), key=p.__getitem__)
+        assert r["lang_pred"] == model.labels[best] and abs(r["score"] - p[best]) < 1e-6
+    rows = [(i, f"wort{i % 7} und ", f"l{i % 300}") for i in range(900)] + [(1000, "solo", "rare")]
+    model = learn(spark.createDataFrame(rows, "doc_id long, text string, lang string"))
+    assert len(model.labels) == 301

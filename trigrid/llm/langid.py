@@ -2,7 +2,8 @@
 
 A text's features are its byte trigrams and 4-grams with word marks, hashed into a table of embeddings; their mean goes
 through a linear softmax. Confidence is calibrated by a temperature fitted on training rows that are held back from
-the fit, and the rejection threshold is the confidence that a small, stated share of those rows falls below.
+the fit. The rejection threshold is three quarters of the confidence that reject_share of the rightly predicted ones
+among these rows fall below, and at most three quarters of the midpoint between chance and certainty.
 """
 
 from __future__ import annotations
@@ -16,13 +17,13 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .scratch import lean, without
+from .scratch import lean, materialise, without
 
 OUT = ("lang_pred", "score", "rejected")
 BUCKETS, DIM = 1 << 15, 16
-#: Labelled rows that training uses: at most so many a language, by a hash of the identifier, and languages at most
-#: (the most frequent); texts of over MAX_BYTES aren't used to train. Predictions always read whole texts.
-ROWS_PER_LANGUAGE, LANGUAGES, MAX_BYTES = 600, 200, 200_000
+#: Labelled rows that training uses, about: so many a language, by a hash of the identifier, and so many in all, dealt
+#: evenly, at least one a language; texts of over MAX_BYTES aren't used to train. Predictions always read whole texts.
+ROWS_PER_LANGUAGE, ROWS, MAX_BYTES = 600, 120_000, 200_000
 #: Bytes that are looked at in one go, at least a text.
 CHUNK = 1 << 20
 
@@ -122,18 +123,27 @@ def train(rows: list[tuple[str, bytes]], epochs: int = 6, rate: float = 0.5, rej
     return M
 
 
+BELOW = 1_000_000_007
+
+
+def chance(id_col: str):
+    """A number below BELOW for each identifier."""
+    return F.pmod(F.xxhash64(F.col(id_col), F.lit(11)), F.lit(BELOW))
+
+
 def training_rows(docs: DataFrame, id_col: str, text_col: str, label_col: str, where=None) -> list[tuple[str, bytes]]:
     """The bounded sample described above, in a fixed order."""
     ok = docs.where(F.col(label_col).isNotNull() & F.col(text_col).isNotNull() & (F.octet_length(text_col) <= MAX_BYTES))
     ok = ok.where(where) if where is not None else ok
-    counts = ok.groupBy(F.col(label_col).cast("string").alias("l")).count().orderBy(F.desc("count"), "l").limit(LANGUAGES).collect()
-    if not counts:
+    counts = ok.groupBy(F.col(label_col).cast("string").alias("l")).agg(F.count("*").alias("n"), F.min(F.struct(chance(id_col).alias("h"), F.xxhash64(text_col).alias("t"))).alias("first"))
+    counts = materialise(counts)
+    labels = counts.count()
+    if not labels:
         return []
-    h = F.pmod(F.xxhash64(F.col(id_col), F.lit(11)), F.lit(1_000_000_007))
-    share = F.lit(None).cast("long")
-    for r in counts:
-        share = F.when(F.col(label_col).cast("string") == r[0], F.lit(min(1_000_000_007, int(1_000_000_007 * ROWS_PER_LANGUAGE / r[1])))).otherwise(share)
-    got = ok.where(h < share).select(F.col(label_col).cast("string"), F.encode(text_col, "UTF-8"), F.col(id_col).cast("string")).collect()
+    each = max(1, min(ROWS_PER_LANGUAGE, ROWS // labels))
+    here = ok.select(F.col(label_col).cast("string").alias("label"), F.encode(text_col, "UTF-8").alias("t"), F.col(id_col).cast("string").alias("i"), chance(id_col).alias("h"), F.xxhash64(text_col).alias("x"))
+    wanted = (F.col("h") < F.floor(F.lit(BELOW) * F.least(F.lit(1.0), F.lit(each) / F.col("n")))) | ((F.col("h") == F.col("first.h")) & (F.col("x") == F.col("first.t")))
+    got = here.join(counts, F.col("label") == F.col("l")).where(wanted).select("label", "t", "i").collect()
     return [(r[0], bytes(r[1])) for r in sorted(got, key=lambda r: (r[2] or "", r[0], bytes(r[1])))]
 
 

@@ -17,9 +17,13 @@ _written: dict[int, tuple[SparkSession, str, DataFrame]] = {}
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """spark.checkpoint.dir of the session; where that is unset (tests), a temporary folder that is then set."""
+    """spark.checkpoint.dir of the session; where that is unset and driver and executors are one process (tests), a
+    temporary folder that is then set. A cluster must name one."""
     base = spark.conf.get("spark.checkpoint.dir", None)
     if not base:
+        master = spark.conf.get("spark.master", "")
+        if not master.startswith("local") or master.startswith("local-cluster"):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         base = f"file://{tempfile.mkdtemp(prefix='trigrid-')}"
         spark.conf.set("spark.checkpoint.dir", base)
     return base.rstrip("/")
@@ -67,7 +71,8 @@ ROWS_PER_BATCH = 1000
 
 
 def lean(spark: SparkSession) -> None:
-    """Bound the Arrow batches of this session, for workers that hold whole texts; a smaller bound stays."""
+    """Bound the Arrow batches of this session, for workers that hold whole texts; a smaller bound stays. Spark reads
+    the bound when a plan runs, which is after the operator has returned, so it holds from here on."""
     key = "spark.sql.execution.arrow.maxRecordsPerBatch"
     if not 0 < int(spark.conf.get(key)) <= ROWS_PER_BATCH:
         spark.conf.set(key, str(ROWS_PER_BATCH))
