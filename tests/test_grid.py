@@ -109,7 +109,9 @@ def test_shapes(spark):
         assert (n == 2).all() and len(keys) == 10 * 4**level
         if level:
             assert set(zip(r["x"].tolist(), r["y"].tolist())) == {(x, y) for x in range(2**level) for y in range(2**level)}
-            ids, m = np.unique(G.hex_ids(a), return_counts=True)
+            parts = G.hex_parts(a)
+            name = lambda k: ("HV" if parts["on"][k] == 1 else "HE" if parts["on"][k] == 2 else "HF") + str([parts[c][k] for c in (["low", "level"], ["low", "high", "level", "part"], ["face", "level", "b0", "b1", "b2"])[parts["on"][k] - 1]])
+            ids, m = np.unique([name(k) for k in range(len(a))], return_counts=True)
             for k, c in zip(ids, m):
                 assert c in {"HF": (6,), "HE": (3, 6), "HV": (1, 5)}[k[:2]], (k, c)
 

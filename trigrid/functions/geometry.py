@@ -19,8 +19,8 @@ def lonlat(p: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
 
 
 def _side(a: np.ndarray, b: np.ndarray, p: np.ndarray) -> np.ndarray:
-    """The signed volume a, b, p: positive to the left of the edge a -> b."""
-    return (a[:, 1] * b[:, 2] - a[:, 2] * b[:, 1]) * p[:, 0] + (a[:, 2] * b[:, 0] - a[:, 0] * b[:, 2]) * p[:, 1] + (a[:, 0] * b[:, 1] - a[:, 1] * b[:, 0]) * p[:, 2]
+    """How far p lies to the left of the edge a -> b: its part along the edge's normal."""
+    return np.einsum("ij,ij->i", np.cross(a, b), p)
 
 
 def _middle(a: np.ndarray, b: np.ndarray) -> np.ndarray:
@@ -39,30 +39,52 @@ def _choose(margin: np.ndarray) -> np.ndarray:
     return np.where(inside.any(1), inside.argmax(1), margin.argmax(1))
 
 
+#: Points that are located together: as many as stay in a processor's cache.
+LOT = 4096
+
+
 def locate(lon: np.ndarray, lat: np.ndarray, level: int) -> np.ndarray:
     """Signed 64-bit addresses. Shared edges go to the first cell in order; deterministic."""
     p = unit(np.asarray(lon, float), np.asarray(lat, float))
+    out = [_locate(p[k : k + LOT], level) for k in range(0, len(p), LOT)]
+    return np.concatenate(out) if out else np.zeros(0, np.int64)
+
+
+def _locate(p: np.ndarray, level: int) -> np.ndarray:
+    """Corners are kept as rows of three numbers a coordinate: (3, points)."""
     tri = face_triangles()
     normal = np.stack([np.cross(tri[:, i], tri[:, (i + 1) % 3]) for i in range(3)], 1)
     depth = (p @ normal.reshape(60, 3).T).reshape(-1, 20, 3).min(2)
     inside = depth >= -EPS
     face = np.where(inside.any(1), inside.argmax(1), (p @ tri.mean(1).T).argmax(1))
     close = np.abs(depth).min(1) < 1e-12
-    a, b, c = (tri[face, i] for i in range(3))
+    q = np.ascontiguousarray(p.T)
+    corner = np.ascontiguousarray(tri[face].transpose(1, 2, 0))  # corners x coordinates x points
     path = np.zeros(len(p), np.int64)
+    nxt = np.array([1, 2, 0])
     for _ in range(level):
-        ab, bc, ca = _middle(a, b), _middle(b, c), _middle(c, a)
-        # a point well inside its cell is told apart by the three inner edges alone
-        cut = np.stack([_side(ab, ca, p), _side(bc, ab, p), _side(ca, bc, p)], 1)
-        d = np.where((cut > 0).any(1), (cut > 0).argmax(1), 3)
-        close |= np.abs(cut).min(1) < 1e-12
+        mid = corner + corner[nxt]  # ab, bc, ca
+        mid /= np.sqrt((mid * mid).sum(1))[:, None]
+        # a point well inside its cell is told apart by the three inner edges alone: child k keeps corner k, and its
+        # inner edge runs from the middle after that corner to the one before it
+        to = mid[[2, 0, 1]]
+        cut = (mid[:, 1] * to[:, 2] - mid[:, 2] * to[:, 1]) * q[0]
+        cut += (mid[:, 2] * to[:, 0] - mid[:, 0] * to[:, 2]) * q[1]
+        cut += (mid[:, 0] * to[:, 1] - mid[:, 1] * to[:, 0]) * q[2]
+        out = cut > 0
+        d = np.where(out[0], 0, np.where(out[1], 1, np.where(out[2], 2, 3)))
+        near = (np.abs(cut) < 1e-12).any(0)
+        close |= near
         if close.any():  # near an edge, the tolerance and the order of the children decide
             i = np.flatnonzero(close)
-            x, y, z, xy, yz, zx = (v[i] for v in (a, b, c, ab, bc, ca))
+            (x, y, z), (xy, yz, zx) = corner[:, :, i].transpose(0, 2, 1), mid[:, :, i].transpose(0, 2, 1)
             d[i] = _choose(_margins([(x, xy, zx), (xy, y, yz), (zx, yz, z), (xy, yz, zx)], p[i]))
         path = path << 2 | d
-        k = d[:, None]
-        a, b, c = np.where(k == 0, a, np.where(k == 2, ca, ab)), np.where(k == 1, b, np.where(k == 0, ab, bc)), np.where(k == 2, c, np.where(k == 1, bc, ca))
+        # corner k of child d: its own if k = d, else the middle between them; of the inner child the middle after k
+        new = np.empty_like(corner)
+        for k, (one, two) in enumerate(((0, 2), (1, 0), (2, 1))):  # middles at corner k: towards the next, the last
+            new[k] = np.where(d == k, corner[k], np.where(d == (k + 2) % 3, mid[two], mid[one]))
+        corner = new
     return (face.astype(np.uint64) << np.uint64(59) | path.astype(np.uint64) << np.uint64(59 - 2 * level) | np.uint64(level)).view(np.int64)
 
 
@@ -88,14 +110,11 @@ def triangles(address: np.ndarray) -> np.ndarray:
     return np.stack([a, b, c], 1)
 
 
-def _angle(at: np.ndarray, x: np.ndarray, y: np.ndarray) -> np.ndarray:
-    m, n = np.cross(at, x), np.cross(at, y)
-    return np.arccos(np.clip((m * n).sum(1) / (np.linalg.norm(m, axis=1) * np.linalg.norm(n, axis=1)), -1, 1))
-
-
 def area_km2(t: np.ndarray) -> np.ndarray:
-    a, b, c = t[:, 0], t[:, 1], t[:, 2]
-    return (_angle(a, b, c) + _angle(b, c, a) + _angle(c, a, b) - np.pi) * EARTH_KM**2
+    """By the tangent of half the spherical excess, which keeps its digits for small cells."""
+    a, b, c = (t[:, i] for i in range(3))
+    dot = lambda x, y: (x * y).sum(1)
+    return 2 * np.arctan2(dot(np.cross(a, b), c), 1 + dot(a, b) + dot(b, c) + dot(c, a)) * EARTH_KM**2
 
 
 def edge_km(t: np.ndarray) -> np.ndarray:
@@ -156,21 +175,17 @@ def rhombus(address: np.ndarray) -> dict[str, np.ndarray]:
     return {"diamond": diamond, "level": level, "x": x, "y": y, "orientation": (~at_corner).astype(np.int64), "key": key}
 
 
-def hex_ids(address: np.ndarray) -> list[str]:
-    """The group of each triangle: that of its one corner of colour 0, named alike from all faces that meet there."""
+def hex_parts(address: np.ndarray) -> dict[str, np.ndarray]:
+    """Of each triangle the corner of colour 0, which its group goes by: how many barycentric numbers of it are not 0
+    (`on`), the vertices of the solid that these belong to in ascending order, and the numbers themselves."""
     face, level, v = lattice(address)
     at = ((v[:, :, 1] + 2 * v[:, :, 2]) % 3 == 0).argmax(1)
-    out = []
-    for f, n, b in zip(face.tolist(), level.tolist(), v[np.arange(len(v)), at].tolist(), strict=True):
-        on = [i for i in range(3) if b[i]]
-        if len(on) == 1:
-            out.append(f"HV{FACES[f][on[0]]:02d}-{n:02d}")
-        elif len(on) == 2:
-            low, high = sorted(on, key=lambda i: FACES[f][i])
-            out.append(f"HE{FACES[f][low]:02d}{FACES[f][high]:02d}-{n:02d}-{b[high]}")
-        else:
-            out.append(f"HF{f:02d}-{n:02d}-{b[0]}-{b[1]}-{b[2]}")
-    return out
+    b = v[np.arange(len(v)), at]
+    vertex = np.where(b > 0, np.array(FACES)[face], 99)
+    order = np.argsort(vertex, axis=1)
+    low, high = (np.take_along_axis(vertex, order[:, k : k + 1], 1)[:, 0] for k in (0, 1))
+    part = np.take_along_axis(b, order[:, 1:2], 1)[:, 0]
+    return {"on": (b > 0).sum(1), "face": face, "level": level, "low": low, "high": high, "part": part, "b0": b[:, 0], "b1": b[:, 1], "b2": b[:, 2]}
 
 
 def cell_of(lon, lat, level: int):
@@ -201,8 +216,8 @@ def _rhombus(a: pd.Series) -> pd.DataFrame:
     return pd.DataFrame(rhombus(a.to_numpy(np.int64)))
 
 
-def _hex(a: pd.Series) -> pd.Series:
-    return pd.Series(hex_ids(a.to_numpy(np.int64)))
+def _hex(a: pd.Series) -> pd.DataFrame:
+    return pd.DataFrame(hex_parts(a.to_numpy(np.int64)))
 
 
 def _shape(a: pd.Series) -> pd.DataFrame:
@@ -212,5 +227,13 @@ def _shape(a: pd.Series) -> pd.DataFrame:
 
 
 rhombus_of = _arrow("struct<diamond:int,level:int,x:bigint,y:bigint,orientation:int,key:bigint>", _rhombus)
-hex_of = _arrow("string", _hex)
+_hex_of = _arrow("struct<on:int,face:int,level:int,low:int,high:int,part:bigint,b0:bigint,b1:bigint,b2:bigint>", _hex)
+
+
+def hex_of(a):
+    """The name of a triangle's hexagonal group: by the vertex of the solid, the edge or the face that its centre is
+    on, so that all faces that meet there say the same."""
+    h = _hex_of(a)
+    on = lambda n, f, *c: F.when(h["on"] == n, F.format_string(f, *[h[k] for k in c]))
+    return F.coalesce(on(1, "HV%02d-%02d", "low", "level"), on(2, "HE%02d%02d-%02d-%d", "low", "high", "level", "part"), on(3, "HF%02d-%02d-%d-%d-%d", "face", "level", "b0", "b1", "b2"))
 shape_of = _arrow("struct<lon:double,lat:double,area_km2:double,edge_km:double>", _shape)

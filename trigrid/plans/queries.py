@@ -13,6 +13,7 @@ from ..functions.rhombi import rhombus_parts
 from ..functions.rings import ring_of
 from ..operators import cover, dissolve, lines, ranges, raster, refine, shapes, zones
 from ..streaming import cell_counts
+from . import twins
 
 QUERIES: dict = {}
 SQL: dict[str, str] = {}
@@ -75,18 +76,19 @@ def cell_children(spark, d):
     return t.select(A.unsigned("cell").alias("cell"), F.posexplode(A.children("cell")).alias("digit", "c")).select("cell", "digit", A.unsigned("c").alias("child"))
 
 
-@query(f"WITH {M}, r AS (SELECT DISTINCT {UP(4)} AS root FROM m WHERE p % 7 = 0) SELECT root::VARCHAR AS root, count(*) AS n, sum(v) AS total FROM r JOIN m ON cell BETWEEN root AND (root | ((1::UBIGINT << 51) - 1)) GROUP BY root")
+@query(f"WITH {M}, r AS (SELECT DISTINCT {UP(4)} AS root FROM m) SELECT root::VARCHAR AS root, count(*) AS n, sum(v) AS total FROM r JOIN m ON cell BETWEEN root AND (root | ((1::UBIGINT << 51) - 1)) GROUP BY root")
 def cell_ancestor_join(spark, d):
     m = measures(spark, d)
-    roots = m.where("p % 7 = 0").select(A.up("cell", 4).alias("root")).distinct()
+    roots = m.select(A.up("cell", 4).alias("root")).distinct()
     return ranges.subtree_join(m, roots, "cell", "root", [4]).groupBy("root").agg(F.count("*").alias("n"), F.sum("v").alias("total")).select(A.unsigned("root").alias("root"), "n", "total")
 
 
 @query(f"WITH {M}, r AS (SELECT min({UP(2)}) AS lo FROM m WHERE o % 20 = 17) SELECT o, k FROM m, r WHERE cell BETWEEN lo AND lo + (1::UBIGINT << 55) - 1")
 def subtree_range_scan(spark, d):
     m = measures(spark, d)
-    r = m.where("o % 20 = 17").agg(F.min(A.up("cell", 2)).alias("root")).select(A.subtree("root").alias("s"))
-    return m.join(F.broadcast(r), F.col("cell").between(F.col("s.lo"), F.col("s.hi"))).select("o", "k")  # one row, always
+    # one row, read first: its two ends are literals of the scan's filter, not a join
+    r = m.where("o % 20 = 17").agg(F.min(A.up("cell", 2)).alias("root")).select(A.subtree("root").alias("s")).select("s.*").first()
+    return m.where(F.col("cell").between(F.lit(r["lo"]), F.lit(r["hi"]))).select("o", "k")
 
 
 @query(f"WITH {M} SELECT {UP(6)}::VARCHAR AS cell, sum(v) AS total, count(*) AS n FROM m GROUP BY 1")
@@ -137,7 +139,7 @@ def virtual_grid_scan(spark, d):
     return cover.grid(spark, 3).select(A.unsigned("cell").alias("cell"), "face")
 
 
-RANGES = f"""WITH {M}, c AS (SELECT DISTINCT cell FROM m WHERE p % 3 = 0 UNION SELECT DISTINCT {UP(6)} FROM m WHERE p % 50 = 1),
+RANGES = f"""WITH {M}, c AS (SELECT DISTINCT cell FROM m UNION SELECT {UP(7)} FROM m GROUP BY 1 HAVING count(*) > 3),
 s AS (SELECT (cell >> 59)::INT AS face, cell AS lo, ((cell >> 5) << 5) | (((1::UBIGINT << (59 - 2 * (cell & 31))) - 1) & ~31::UBIGINT) | 27 AS hi FROM c),
 w AS (SELECT *, max(hi) OVER (PARTITION BY face ORDER BY lo, hi ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS far FROM s),
 g AS (SELECT *, sum(CASE WHEN far IS NULL OR lo > far + 1 THEN 1 ELSE 0 END) OVER (PARTITION BY face ORDER BY lo, hi ROWS UNBOUNDED PRECEDING) AS island FROM w)
@@ -147,7 +149,8 @@ SELECT face, min(lo)::VARCHAR AS lo, max(hi)::VARCHAR AS hi FROM g GROUP BY face
 @query(RANGES)
 def cover_ranges(spark, d):
     m = measures(spark, d)
-    c = m.where("p % 3 = 0").select("cell").unionByName(m.where("p % 50 = 1").select(A.up("cell", 6).alias("cell"))).distinct()
+    busy = m.groupBy(A.up("cell", 7).alias("cell")).agg(F.count("*").alias("n")).where("n > 3").select("cell")
+    c = m.select("cell").unionByName(busy).distinct()
     return ranges.cover_ranges(c, "cell").select("face", A.unsigned("lo").alias("lo"), A.unsigned("hi").alias("hi"))
 
 
@@ -328,26 +331,33 @@ def line_segments(spark, d):
     return lines.answers(t.select("line", "segment", "step", "km", "face"), "line", ["segment", "step"], "km", "face")
 
 
-@query()
+COMPACT = lambda c: f"""'T' || substr({B32}, (({c} >> 59) + 1)::INT, 1) || substr({B32}, (({c} & 31) + 1)::INT, 1) || array_to_string(list_transform(range(0, ceil(({c} & 31)::INT * 2 / 5.0)::INT),
+  lambda i: substr({B32}, 1 + ((((({c} >> 5) & ((1::UBIGINT << 54) - 1)) << 6) >> (55 - 5 * i)::UBIGINT) & 31)::INT, 1)), '')"""
+PATH = lambda c: f"'F' || lpad(({c} >> 59)::VARCHAR, 2, '0') || '-' || array_to_string(list_transform(range(1, 1 + ({c} & 31)::INT), lambda i: (({c} >> (59 - 2 * i)::UBIGINT) & 3)::VARCHAR), '')"
+
+
+@query(f"WITH RECURSIVE {twins.located(POINTS, 'event_id', 9)}, t AS (SELECT {UP(6)} AS c, value FROM located JOIN events USING (event_id)) SELECT {COMPACT('c')} AS cell, c::VARCHAR AS addr, round(sum(value), 4) AS total, count(*) AS n FROM t GROUP BY c")
 def flagship_cell_totals(spark, d):
     """Total value per level-6 cell of points located at level 9."""
     p = event_points(spark, d).withColumn("cell", cell_of(F.col("lon"), F.col("lat"), 9))
     g = p.groupBy(A.up("cell", 6).alias("c")).agg(F.sum("value").alias("total"), F.count("*").alias("n"))
-    return g.select(A.to_compact("c").alias("cell"), A.unsigned("c").alias("addr"), "total", "n")
+    return g.select(A.to_compact("c").alias("cell"), A.unsigned("c").alias("addr"), F.round("total", 4).alias("total"), "n")
 
 
-@query()
+@query(f"WITH RECURSIVE {twins.located(POINTS, 'event_id', 10)} SELECT event_id, cell::VARCHAR AS cell FROM located")
 def locate_points(spark, d):
     return event_points(spark, d).select("event_id", A.unsigned(cell_of(F.col("lon"), F.col("lat"), 10)).alias("cell"))
 
 
-@query()
+@query(f"""WITH RECURSIVE {M}, {twins.rhombi('SELECT DISTINCT cell FROM m')}
+SELECT cell::VARCHAR AS cell, key AS rhombus, printf('R%02d-%02d-%d-%d', diamond, level, x, y) AS rhombus_id, orientation FROM rhombi""")
 def rhombus_keys(spark, d):
     t = measures(spark, d).select("cell").distinct().withColumn("r", rhombus_of("cell"))
     return t.select(A.unsigned("cell").alias("cell"), F.col("r.key").alias("rhombus"), F.format_string("R%02d-%02d-%d-%d", "r.diamond", "r.level", "r.x", "r.y").alias("rhombus_id"), F.col("r.orientation").alias("orientation"))
 
 
-@query()
+@query(f"""WITH RECURSIVE {M}, {twins.rhombi('SELECT DISTINCT cell FROM m')}, k AS (SELECT DISTINCT diamond, key FROM rhombi),
+g AS (SELECT *, key // {1 << 41} - row_number() OVER (PARTITION BY diamond ORDER BY key) AS island FROM k) SELECT diamond::INT AS diamond, min(key) AS lo, max(key) AS hi FROM g GROUP BY diamond, island""")
 def hilbert_ranges(spark, d):
     """Distinct rhombi of one level as intervals of consecutive keys."""
     t = measures(spark, d).select("cell").distinct().select(rhombus_of("cell")["key"].alias("key")).distinct()
@@ -356,12 +366,13 @@ def hilbert_ranges(spark, d):
     return ranges.merge(t.select("diamond", F.col("key").alias("lo"), F.col("key").alias("hi")), "lo", "hi", ("diamond",), gap=step)
 
 
-@query()
+@query(f"""WITH RECURSIVE {M}, {twins.hexes(f'SELECT DISTINCT {UP(6)} AS cell FROM m')} SELECT hex, count(DISTINCT h.cell) AS n_cells, sum(v) AS total FROM hexes h JOIN m ON {UP(6, 'm.cell')} = h.cell GROUP BY hex""")
 def hex_groups(spark, d):
     return measures(spark, d).select(A.up("cell", 6).alias("c"), "v").groupBy(hex_of("c").alias("hex")).agg(F.countDistinct("c").alias("n_cells"), F.sum("v").alias("total"))
 
 
-@query()
+@query(f"""WITH RECURSIVE {M}, {twins.cornered(f'SELECT DISTINCT {UP(6)} AS cell FROM m')}, t AS (SELECT *, {twins.EDGES}, {twins.CENTRE} FROM cornered)
+SELECT {COMPACT('cell')} AS id, {PATH('cell')} AS path, cell::VARCHAR AS addr64, (cell >> 59)::INT AS face, (cell & 31)::INT AS level, round(lon, 6) AS lon, round(lat, 6) AS lat, round({twins.AREA}, 6) AS area_km2, round({twins.EDGE}, 6) AS edge_km FROM t""")
 def cell_metrics(spark, d):
     t = measures(spark, d).select(A.up("cell", 6).alias("c")).distinct()
     s = shape_of("c")
@@ -457,11 +468,12 @@ def settlement_classes(spark, d):
     return zones.settlement(t, "state").select("o", "k", "code", "name", "level1", "urban")
 
 
-@query(f"""WITH {M} SELECT DISTINCT cell::VARCHAR AS cell, true AS found, 2 AS n FROM m""")
+@query(f"""WITH RECURSIVE {M}, {twins.rhombi('SELECT DISTINCT cell FROM m')}
+SELECT cell::VARCHAR AS cell, diamond::INT AS diamond, level::INT AS level, x, y, true AS found, 2 AS n FROM rhombi""")
 def rhombus_decode(spark, d):
-    """Each cell's rhombus key, decoded again: whether the cell is one of its two triangles."""
+    """Each cell's rhombus key, decoded again: the place it gives, and whether the cell is one of its two triangles."""
     t = measures(spark, d).select("cell").distinct().withColumn("r", rhombus_parts(rhombus_of("cell")["key"]))
-    return t.select(A.unsigned("cell").alias("cell"), F.array_contains("r.cells", F.col("cell")).alias("found"), F.size("r.cells").alias("n"))
+    return t.select(A.unsigned("cell").alias("cell"), "r.diamond", "r.level", "r.x", "r.y", F.array_contains("r.cells", F.col("cell")).alias("found"), F.size("r.cells").alias("n"))
 
 
 def _areas(spark, d) -> DataFrame:
@@ -483,11 +495,11 @@ def hex_dissolve(spark, d):
     return t.select(F.col("key").alias("hex"), "n_cells", "interior", F.round("area", 3).alias("area_km2"), "pole", F.size("rings").alias("n_rings"))
 
 
-@query(f"""WITH p AS ({POINTS}) SELECT event_id, 12 AS level, true AS nested FROM p""")
+@query(f"WITH RECURSIVE {twins.quads(POINTS, 'event_id', 12)} SELECT event_id, cell::VARCHAR AS cell, (((cell >> 49) << 49) | (1::UBIGINT << 48))::VARCHAR AS up6, 12 AS level FROM quads")
 def cube_cells(spark, d):
-    """Events in level-12 cells of the cube: their ancestor at 6 is the cell that location at 6 gives."""
-    t = event_points(spark, d).select("event_id", quad_cell_of("lon", "lat", 12).alias("c"), quad_cell_of("lon", "lat", 6).alias("p"))
-    return t.select("event_id", quad_level("c").alias("level"), (quad_up("c", 6) == F.col("p")).alias("nested"))
+    """Events in level-12 cells of the cube, and their ancestors at 6."""
+    t = event_points(spark, d).select("event_id", quad_cell_of("lon", "lat", 12).alias("c"))
+    return t.select("event_id", A.unsigned("c").alias("cell"), A.unsigned(quad_up("c", 6)).alias("up6"), quad_level("c").alias("level"))
 
 
 @query(f"""WITH p AS ({POINTS}), n AS (SELECT n_nationkey AS nation, (n_nationkey % 5)::DOUBLE * 72 - 180 + 0.013::DOUBLE AS w, floor(n_nationkey / 5)::DOUBLE * 36 - 90 + 0.017::DOUBLE AS s FROM nation WHERE n_nationkey BETWEEN 0 AND 24)
