@@ -325,10 +325,8 @@ def line_samples(spark, d):
 def line_segments(spark, d):
     """Stretches of one face along each customer's line, sampled every 500 km."""
     t = lines.samples(order_points(spark, d), "line", ["at", "key"], 500)
-    per = lines.segments(order_points(spark, d), "line", ["at", "key"]).select("line", "segment", "km", F.coalesce(F.sum("km").over(Window.partitionBy("line").orderBy("segment").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0.0)).alias("before"))
-    t = t.withColumnRenamed("km", "own").join(per.drop("km"), ["line", "segment"]).withColumn("km", F.col("before") + F.col("own"))
     t = t.withColumn("face", A.face_of(cell_of(F.col("lon"), F.col("lat"), 0)))
-    return lines.answers(t.select("line", "segment", "step", "km", "face"), "line", ["segment", "step"], "km", "face")
+    return lines.answers(t.select("line", "segment", "step", "along_km", "face"), "line", ["segment", "step"], "along_km", "face")
 
 
 COMPACT = lambda c: f"""'T' || substr({B32}, (({c} >> 59) + 1)::INT, 1) || substr({B32}, (({c} & 31) + 1)::INT, 1) || array_to_string(list_transform(range(0, ceil(({c} & 31)::INT * 2 / 5.0)::INT),
