@@ -129,6 +129,12 @@ def from_index(i, level: int) -> Column:
     return _shl(_c(i).cast("long"), 59 - 2 * level).bitwiseOR(F.lit(level).cast("long"))
 
 
+def located_or_raise(cell) -> Column:
+    """The address, or an error where a point has none: the strict form of cell_of, which gives null."""
+    cell = _c(cell)
+    return F.coalesce(cell, F.raise_error(F.lit("longitude in [-180, 180] and latitude in [-90, 90] are asked for")).cast("long"))
+
+
 #: Digits 10 to 31 as conv() writes them, and as the alphabet does.
 _PLAIN, _OWN = "ABCDEFGHIJKLMNOPQRSTUV", ALPHABET[10:]
 

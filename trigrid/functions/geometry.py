@@ -50,11 +50,11 @@ def locate(lon: np.ndarray, lat: np.ndarray, level: int) -> np.ndarray:
     return np.concatenate(out) if out else np.zeros(0, np.int64)
 
 
-def _locate(p: np.ndarray, level: int) -> np.ndarray:
-    """Corners are kept as rows of three numbers a coordinate: (3, points)."""
-    tri = face_triangles()
+def _locate(p: np.ndarray, level: int, solid: np.ndarray | None = None) -> np.ndarray:
+    """Points on the sphere -> addresses on the faces of a solid, by default the usual one."""
+    tri = face_triangles() if solid is None else solid
     normal = np.stack([np.cross(tri[:, i], tri[:, (i + 1) % 3]) for i in range(3)], 1)
-    depth = (p @ normal.reshape(60, 3).T).reshape(-1, 20, 3).min(2)
+    depth = (p @ normal.reshape(-1, 3).T).reshape(len(p), len(tri), 3).min(2)
     inside = depth >= -EPS
     face = np.where(inside.any(1), inside.argmax(1), (p @ tri.mean(1).T).argmax(1))
     close = np.abs(depth).min(1) < 1e-12
@@ -96,10 +96,10 @@ def parts(address: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     return (u >> np.uint64(59)).astype(np.int64), level, (path >> (np.uint64(54) - 2 * level.astype(np.uint64))).astype(np.int64)
 
 
-def triangles(address: np.ndarray) -> np.ndarray:
+def triangles(address: np.ndarray, solid: np.ndarray | None = None) -> np.ndarray:
     """Cells x corners x coordinates."""
     face, level, path = parts(address)
-    t = face_triangles()[face]
+    t = (face_triangles() if solid is None else solid)[face]
     a, b, c = t[:, 0], t[:, 1], t[:, 2]
     for k in range(int(level.max()) if len(level) else 0):
         go = (k < level)[:, None]

@@ -73,6 +73,17 @@ def changes(old: DataFrame, new: DataFrame) -> DataFrame:
     return t.where("old_state IS NOT NULL OR new_state IS NOT NULL").groupBy("old_state", "new_state").agg(F.sum("n").alias("n_cells"))
 
 
+def ordered_signature(t: DataFrame, key: str, order: list[str], answer: str, width: int = 1 << 16) -> DataFrame:
+    """One row (n, signature) that depends on the answers' order: the SHA-256 of each stretch of `width` whole-number
+    keys, then of these in order. A stretch is one task's; what meets at the end is a digest a stretch."""
+    part = F.floor(F.col(key) / width)
+    row = F.struct(*order, F.coalesce(F.col(answer).cast("string"), F.lit("")).alias("_a"))
+    one = F.array_join(F.transform(F.array_sort(F.collect_list(row)), lambda r: r["_a"]), "\n")
+    g = t.groupBy(part.alias("part")).agg(F.sha2(one, 256).alias("digest"), F.count("*").alias("n"))
+    all_ = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("part", "digest"))), lambda r: r["digest"]), "\n")
+    return g.agg(F.sum("n").alias("n"), F.sha2(all_, 256).alias("signature"))
+
+
 def confusion(t: DataFrame, truth: str, answer: str) -> DataFrame:
     return t.groupBy(F.col(truth).alias("truth"), F.col(answer).alias("answer")).agg(F.count("*").alias("n"))
 

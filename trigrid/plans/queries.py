@@ -377,7 +377,12 @@ def cell_metrics(spark, d):
     return t.select(A.to_compact("c").alias("id"), A.to_path("c").alias("path"), A.unsigned("c").alias("addr64"), A.face_of("c").alias("face"), A.level_of("c").alias("level"), s.alias("s")).select("id", "path", "addr64", "face", "level", *[F.round(f"s.{k}", 6).alias(k) for k in ("lon", "lat", "area_km2", "edge_km")])
 
 
-@query()
+CENTRES = lambda level: f"""{twins.cornered(f"SELECT (f::UBIGINT << 59) | (i::UBIGINT << {59 - 2 * level}) | {level}::UBIGINT AS cell FROM range(20) f(f), range({4**level}) i(i)")}, ce AS (SELECT cell, {twins.CENTRE} FROM cornered)"""
+
+
+@query(f"""WITH RECURSIVE {CENTRES(7)}, s AS (SELECT s_suppkey, ((s_suppkey * 2654435761) % 3600001) / CAST(10000 AS DOUBLE) - 180 AS x, ((s_suppkey * 40503 + 7) % 1800001) / CAST(10000 AS DOUBLE) - 90 AS y, (s_suppkey % 8) * 0.25::DOUBLE + 0.5::DOUBLE AS h FROM supplier),
+b AS (SELECT s_suppkey, (x - h + 540) % 360 - 180 AS w, (x + h + 540) % 360 - 180 AS e, greatest(-90, y - h) AS south, least(90, y + h) AS north FROM s)
+SELECT s_suppkey, cell::VARCHAR AS cell FROM b JOIN ce ON lat BETWEEN south AND north AND CASE WHEN w <= e THEN lon BETWEEN w AND e ELSE lon >= w OR lon <= e END""")
 def bbox_cover_cells(spark, d):
     """Cells of level 7 whose centres lie in boxes around suppliers' places, some of them across 180 degrees."""
     s = _read(spark, d, "supplier").select("s_suppkey", _lon("s_suppkey", 2654435761).alias("x"), _lat("s_suppkey", 40503, 7).alias("y"), (F.expr("s_suppkey % 8") * 0.25 + 0.5).alias("h"))
@@ -386,10 +391,10 @@ def bbox_cover_cells(spark, d):
     return cover.centroid_cover(b, 7, ("s_suppkey",)).select("s_suppkey", A.unsigned("cell").alias("cell"))
 
 
-@query()
+@query(f"""WITH RECURSIVE {twins.located(POINTS, 'event_id', 9)} SELECT (ts::DATE - DATE '1970-01-01')::INT AS day, ({UP(6)})::VARCHAR AS cell, count(*) AS n, round(sum(value), 4) AS total FROM located JOIN events USING (event_id) GROUP BY 1, 2""")
 def windowed_cell_counts(spark, d):
     t = cell_counts(event_points(spark, d), value="value", width="1 day")
-    return t.select(F.col("window.start").alias("from_ts"), A.unsigned("cell").alias("cell"), "n", "total")
+    return t.select(F.datediff(F.col("window.start").cast("date"), F.lit("1970-01-01").cast("date")).alias("day"), A.unsigned("cell").alias("cell"), "n", F.round("total", 4).alias("total"))
 
 
 def _boxes(spark, d, size: float = 0.25) -> DataFrame:
@@ -419,6 +424,12 @@ def points_in_shapes(spark, d):
     return shapes.near_layer(event_points(spark, d).select("event_id", "lon", "lat"), _box_shapes(spark, d), 6, ("s_suppkey",)).select("event_id", "s_suppkey")
 
 
+@query(f"""WITH RECURSIVE {CENTRES(6)}, {BOXES} SELECT s_suppkey, cell::VARCHAR AS cell FROM b JOIN ce ON lat BETWEEN south AND north AND CASE WHEN west <= east THEN lon BETWEEN west AND east ELSE lon >= west OR lon <= east END""")
+def shape_centroid_cells(spark, d):
+    """Cells of level 6 whose centres lie in boxes around suppliers' places, by polygons."""
+    return shapes.cover(_box_shapes(spark, d), 6, ("s_suppkey",), "centroid").select("s_suppkey", A.unsigned("cell").alias("cell"))
+
+
 @query()
 def shape_cover_cells(spark, d):
     """Cells of level 7 that meet boxes around suppliers' places."""

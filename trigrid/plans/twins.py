@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from ..functions import octa
 from ..functions.cube import LEAF, TURN, VISIT
 from ..functions.geometry import _OF_FACE
 from ..solid import EARTH_KM, FACES, face_triangles
@@ -9,9 +10,10 @@ from ..solid import EARTH_KM, FACES, face_triangles
 XYZ = "uvw"
 
 
-def faces() -> str:
-    """Rows (face, au, av, aw, ... cw) of the twenty faces."""
-    rows = ", ".join(f"({f}, {', '.join(f'{float(v)!r}::DOUBLE' for v in t.ravel())})" for f, t in enumerate(face_triangles()))
+def faces(solid: str = "") -> str:
+    """Rows (face, au, av, aw, ... cw) of the twenty faces, or of the octahedron's eight."""
+    own = octa.faces() if solid == "octa" else face_triangles()
+    rows = ", ".join(f"({f}, {', '.join(f'{float(v)!r}::DOUBLE' for v in t.ravel())})" for f, t in enumerate(own))
     return f"faces(face, {', '.join(c + k for c in 'abc' for k in XYZ)}) AS (VALUES {rows})"
 
 
@@ -36,14 +38,14 @@ _STEP = ", ".join(f"CASE d WHEN 0 THEN {n[0]}{k} WHEN 1 THEN {n[1]}{k} WHEN 2 TH
 _CORNERS = ", ".join(c + k for c in "abc" for k in XYZ)
 
 
-def located(points: str, key: str, level: int, name: str = "located") -> str:
+def located(points: str, key: str, level: int, name: str = "located", solid: str = "") -> str:
     """CTEs that end in `name`({key}, cell): the cells of points (key, lon, lat), by descent from the face that holds
     them through the children that the three inner edges tell apart."""
     p = "cos(radians(lat)) * cos(radians(lon)) AS pu, cos(radians(lat)) * sin(radians(lon)) AS pv, sin(radians(lat)) AS pw"
     depth = f"least({det('a', 'b', 'p')}, {det('b', 'c', 'p')}, {det('c', 'a', 'p')})"
     d = f"CASE WHEN {det('ab', 'ca', 'p')} > 0 THEN 0 WHEN {det('bc', 'ab', 'p')} > 0 THEN 1 WHEN {det('ca', 'bc', 'p')} > 0 THEN 2 ELSE 3 END"
-    return f"""{faces()}, {name}_p AS (SELECT {key}, {p} FROM ({points})),
-{name}_f AS (SELECT {key}, arg_max(face, {depth}) AS face FROM {name}_p, faces GROUP BY {key}),
+    return f"""{faces(solid)}, {name}_p AS (SELECT {key}, {p} FROM ({points})),
+{name}_f AS (SELECT {key}, min(face) FILTER (WHERE {depth} >= -1e-14) AS face FROM {name}_p, faces GROUP BY {key}),
 {name}_r AS (SELECT q.{key}, pu, pv, pw, 0 AS n, f.face::UBIGINT AS path, {_CORNERS} FROM {name}_p q JOIN {name}_f USING ({key}) JOIN faces f USING (face)
 UNION ALL SELECT {key}, pu, pv, pw, n + 1, path * 4 + d, {_STEP} FROM (SELECT *, {d} AS d FROM (SELECT *, {_middles()} FROM {name}_r WHERE n < {level}))),
 {name} AS (SELECT {key}, (path << {59 - 2 * level}) | {level}::UBIGINT AS cell FROM {name}_r WHERE n = {level})"""
