@@ -10,27 +10,66 @@ from pyspark.sql import functions as F
 from ..functions import address as A
 
 
-def merge(t: DataFrame, lo: str, hi: str, keys: tuple[str, ...] = (), gap: int = 1) -> DataFrame:
-    """Inclusive intervals -> the fewest that cover them, by key: gaps and islands over one sort a key.
+#: Width of the stretches that an order over a whole index is cut into: a task has one, and a row of each meets the others.
+STRETCH = 1 << 16
 
-    Intervals join when one begins at most `gap` past the furthest end before it.
+
+def _before(parts: DataFrame, keys: tuple[str, ...], what: Column, name: str) -> DataFrame:
+    """Of a table of a row a stretch (`_part`): `what` over all stretches before each, by key."""
+    w = Window.partitionBy(*keys).orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
+    return parts.select(*keys, "_part", what.over(w).alias(name))
+
+
+def merge(t: DataFrame, lo: str, hi: str, keys: tuple[str, ...] = (), gap: int = 1, stretch: int = STRETCH) -> DataFrame:
+    """Inclusive intervals -> the fewest that cover them, by key: gaps and islands over one sort a stretch.
+
+    Intervals join when one begins at most `gap` past the furthest end before it. Stretches of `stretch` values of lo
+    are sorted apart; how far the ones before reach, and how many islands begin in them, comes from a row of each.
     """
-    order = Window.partitionBy(*keys).orderBy(lo, hi)
-    far = F.max(hi).over(order.rowsBetween(Window.unboundedPreceding, -1))
-    island = F.sum(F.when(far.isNull() | (F.col(lo) > far + gap), 1).otherwise(0)).over(order.rowsBetween(Window.unboundedPreceding, 0))
-    t = t.select(*keys, lo, hi).withColumn("_island", island)
+    t = t.select(*keys, lo, hi).withColumn("_part", F.floor(F.col(lo) / F.lit(stretch)))
+    on = [*keys, "_part"]
+    order = Window.partitionBy(*on).orderBy(lo, hi)
+    reach = _before(t.groupBy(*on).agg(F.max(hi).alias("m")), keys, F.max("m"), "_reach")
+    t = _joined(t, reach, on)
+    far = F.greatest(F.max(hi).over(order.rowsBetween(Window.unboundedPreceding, -1)), F.col("_reach"))
+    t = t.withColumn("_new", F.when(far.isNull() | (F.col(lo) > far + gap), 1).otherwise(0))
+    begun = _before(t.groupBy(*on).agg(F.sum("_new").alias("n")), keys, F.sum("n"), "_begun")
+    t = _joined(t, begun, on).withColumn("_island", F.coalesce("_begun", F.lit(0)) + F.sum("_new").over(order.rowsBetween(Window.unboundedPreceding, 0)))
     return t.groupBy(*keys, "_island").agg(F.min(lo).alias(lo), F.max(hi).alias(hi)).drop("_island")
 
 
+def _joined(t: DataFrame, small: DataFrame, on: list[str]) -> DataFrame:
+    """An equality join that takes null keys as equal."""
+    s = small.select(*[F.col(f"`{c}`").alias(f"_j{k}") for k, c in enumerate(on)], *[c for c in small.columns if c not in on])
+    same = F.lit(True)
+    for k, c in enumerate(on):
+        same = same & F.col(f"`{c}`").eqNullSafe(F.col(f"_j{k}"))
+    return t.join(s, same, "left").drop(*[f"_j{k}" for k in range(len(on))])
+
+
 def cover_ranges(cells: DataFrame, cell: str, keys: tuple[str, ...] = ()) -> DataFrame:
-    """Cells of any levels in any order -> merged subtree intervals (lo, hi); faces never merge, so each is a task."""
+    """Cells of any levels in any order -> merged subtree intervals (lo, hi); faces never merge. A stretch is a cell of
+    level 4 at most."""
     s = A.subtree(cell)
     t = cells.select(*keys, A.face_of(cell).alias("face"), s["lo"].alias("lo"), s["hi"].alias("hi"))
-    return merge(t, "lo", "hi", (*keys, "face")).select(*keys, "face", "lo", "hi")
+    return merge(t, "lo", "hi", (*keys, "face"), stretch=1 << 51).select(*keys, "face", "lo", "hi")
+
+
+def runs(t: DataFrame, start: str, stop: str, state: list[str], keys: tuple[str, ...] = (), stretch: int = STRETCH) -> DataFrame:
+    """Disjoint half-open spans with a state -> the longest spans of one state.
+
+    Stretches of the index are merged apart; only the first and the last run of each can go on in another, and those
+    few are merged once more.
+    """
+    t = t.select(*keys, start, stop, *state).withColumn("_part", F.floor(F.col(start) / F.lit(stretch)))
+    t = _runs(t, start, stop, state, (*keys, "_part"))
+    w = Window.partitionBy(*keys, "_part").orderBy(start)
+    t = t.withColumn("_edge", F.lag(F.lit(1)).over(w).isNull() | F.lead(F.lit(1)).over(w).isNull())
+    inner = t.where("NOT _edge").select(*keys, start, stop, *state)
+    return inner.unionByName(_runs(t.where("_edge").drop("_part", "_edge"), start, stop, state, keys))
 
 
-def runs(t: DataFrame, start: str, stop: str, state: list[str], keys: tuple[str, ...] = ()) -> DataFrame:
-    """Disjoint half-open spans with a state -> the longest spans of one state."""
+def _runs(t: DataFrame, start: str, stop: str, state: list[str], keys: tuple[str, ...]) -> DataFrame:
     order = Window.partitionBy(*keys).orderBy(start)
     same = F.lit(True)
     for c in state:
@@ -49,8 +88,9 @@ def bucket_shift(runs_: DataFrame, start: str = "start", stop: str = "stop") ->
 def interval_join(points: DataFrame, runs_: DataFrame, key: Column, how: str = "left", start: str = "start", stop: str = "stop", shift: int | None = None) -> DataFrame:
     """Each point with the half-open run that its key lies in, as an equality join on buckets of the key.
 
-    No nested loop: runs go to the buckets they touch, points to one. Runs much longer than a bucket cost a row for
-    each bucket they cover, which bucket_shift keeps to about two a run on average.
+    No nested loop: runs go to the buckets they touch, points to one. A run much longer than a bucket costs a row for
+    each bucket it covers; as bucket_shift takes the mean run for a width, that is at most three rows a run over all,
+    however unlike runs are.
     """
     shift = bucket_shift(runs_, start, stop) if shift is None else shift
     first, last = F.shiftright(F.col(start), shift), F.shiftright(F.col(stop) - 1, shift)

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .ranges import interval_join
+from .ranges import STRETCH, interval_join
 
 # Settlement codes with their name, label, and class and name on the first level.
 SETTLEMENT = (
@@ -59,16 +59,23 @@ def stats(layer: DataFrame) -> DataFrame:
     return layer.groupBy("state").agg(F.count("*").alias("n_runs"), F.sum(F.col("stop") - F.col("start")).alias("n_cells"))
 
 
-def changes(old: DataFrame, new: DataFrame) -> DataFrame:
+def changes(old: DataFrame, new: DataFrame, stretch: int = STRETCH) -> DataFrame:
     """Cells by (old state, new state), null where a layer has none: from the breakpoints of both, never cell by cell."""
     both = old.select("start", "stop", F.lit(0).alias("which"), "state").unionByName(new.select("start", "stop", F.lit(1).alias("which"), "state"))
     # a point where either layer changes: what begins, and what ends without a successor
     at = both.select(F.col("start").alias("at"), "which", F.struct(F.lit(1).alias("on"), F.col("state").alias("state")).alias("now")).unionByName(both.select(F.col("stop").alias("at"), "which", F.struct(F.lit(0).alias("on"), F.lit(None).cast("int").alias("state")).alias("now")))
     side = lambda k: F.max(F.when(F.col("which") == k, F.col("now")))  # noqa: E731  a beginning wins over an end at one point
     at = at.groupBy("at").agg(side(0).alias("o"), side(1).alias("n"))
-    order = Window.orderBy("at")
+    # in stretches of the index; what held before one, and where the next one begins, comes from a row of each
+    at = at.withColumn("_part", F.floor(F.col("at") / F.lit(stretch)))
+    ends = at.groupBy("_part").agg(F.min("at").alias("first"), F.max_by("o", F.when(F.col("o").isNotNull(), F.col("at"))).alias("o"), F.max_by("n", F.when(F.col("n").isNotNull(), F.col("at"))).alias("n"))
+    over = Window.orderBy("_part")
+    past = over.rowsBetween(Window.unboundedPreceding, -1)
+    ends = ends.select(F.col("_part").alias("_p"), F.lead("first").over(over).alias("_next"), F.last("o", True).over(past).alias("_o"), F.last("n", True).over(past).alias("_n"))
+    order = Window.partitionBy("_part").orderBy("at")
     past = order.rowsBetween(Window.unboundedPreceding, 0)
-    at = at.select("at", F.lead("at").over(order).alias("upto"), F.last("o", True).over(past).alias("o"), F.last("n", True).over(past).alias("n")).where("upto IS NOT NULL")
+    at = at.select("_part", "at", F.lead("at").over(order).alias("upto"), F.last("o", True).over(past).alias("o"), F.last("n", True).over(past).alias("n"))
+    at = at.join(ends, F.col("_part") == F.col("_p")).select("at", F.coalesce("upto", "_next").alias("upto"), F.coalesce("o", "_o").alias("o"), F.coalesce("n", "_n").alias("n")).where("upto IS NOT NULL")
     t = at.select(F.when(F.col("o.on") == 1, F.col("o.state")).alias("old_state"), F.when(F.col("n.on") == 1, F.col("n.state")).alias("new_state"), (F.col("upto") - F.col("at")).alias("n"))
     return t.where("old_state IS NOT NULL OR new_state IS NOT NULL").groupBy("old_state", "new_state").agg(F.sum("n").alias("n_cells"))
 

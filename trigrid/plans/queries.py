@@ -157,11 +157,8 @@ def cover_ranges(spark, d):
 @query(f"""WITH {M}, s AS (SELECT DISTINCT (cell >> 41)::BIGINT AS i FROM m), g AS (SELECT i, i - row_number() OVER (ORDER BY i) AS island FROM s)
 SELECT min(i) AS lo, max(i) AS hi, count(*) AS n FROM g GROUP BY island""")
 def index_ranges(spark, d):
-    s = measures(spark, d).select(A.face_of("cell").alias("face"), A.index_at("cell", 9).alias("i")).distinct()
-    g = s.withColumn("island", F.col("i") - F.row_number().over(Window.partitionBy("face").orderBy("i")))
-    per_face = g.groupBy("face", "island").agg(F.min("i").alias("lo"), F.max("i").alias("hi"))
-    # faces meet at their ends: what is left is a few rows an island
-    return ranges.merge(per_face, "lo", "hi").withColumn("n", F.col("hi") - F.col("lo") + 1)
+    s = measures(spark, d).select(A.index_at("cell", 9).alias("lo")).distinct()
+    return ranges.merge(s.withColumn("hi", F.col("lo")), "lo", "hi").withColumn("n", F.col("hi") - F.col("lo") + 1)
 
 
 @query(f"""WITH {M}, c9 AS (SELECT DISTINCT ((cell >> 41) << 41) | 9::UBIGINT AS c FROM m),
@@ -194,8 +191,7 @@ def _runs_sql(by: int = 37) -> str:
 
 
 def _runs(spark, d, by: int = 37) -> DataFrame:
-    t = _layer(spark, d, by).withColumn("part", F.floor(F.col("start") / (20 * 4**6 // 8)))
-    return ranges.runs(ranges.runs(t, "start", "stop", ["state"], ("part",)).drop("part"), "start", "stop", ["state"])
+    return ranges.runs(_layer(spark, d, by), "start", "stop", ["state"], stretch=1 << 13)
 
 
 @query(_runs_sql())
@@ -229,7 +225,7 @@ def zone_stats(spark, d):
 @query(f"""WITH a AS ({_runs_sql()}), b AS ({_runs_sql(41)}), i AS (SELECT i FROM range({20 * 4**6}) AS r(i)), x AS (SELECT i.i, a.state AS old_state FROM i LEFT JOIN a ON i.i >= a.start AND i.i < a.stop), y AS (SELECT x.*, b.state AS new_state FROM x LEFT JOIN b ON x.i >= b.start AND x.i < b.stop)
 SELECT old_state, new_state, count(*) AS n_cells FROM y WHERE old_state IS NOT NULL OR new_state IS NOT NULL GROUP BY 1, 2""")
 def zone_diff(spark, d):
-    return zones.changes(_runs(spark, d), _runs(spark, d, 41))
+    return zones.changes(_runs(spark, d), _runs(spark, d, 41), 1 << 13)
 
 
 def _two_answers(spark, d) -> DataFrame:
@@ -361,7 +357,7 @@ def hilbert_ranges(spark, d):
     t = measures(spark, d).select("cell").distinct().select(rhombus_of("cell")["key"].alias("key")).distinct()
     step = 1 << (2 * (27 - 9) + 5)
     t = t.withColumn("diamond", F.shiftright("key", 59).cast("int"))
-    return ranges.merge(t.select("diamond", F.col("key").alias("lo"), F.col("key").alias("hi")), "lo", "hi", ("diamond",), gap=step)
+    return ranges.merge(t.select("diamond", F.col("key").alias("lo"), F.col("key").alias("hi")), "lo", "hi", ("diamond",), gap=step, stretch=1 << 51)
 
 
 @query(f"""WITH RECURSIVE {M}, {twins.hexes(f'SELECT DISTINCT {UP(6)} AS cell FROM m')} SELECT hex, count(DISTINCT h.cell) AS n_cells, sum(v) AS total FROM hexes h JOIN m ON {UP(6, 'm.cell')} = h.cell GROUP BY hex""")
