@@ -111,6 +111,21 @@ def test_blocks(spark, monkeypatch):
     check(rows, remove_repeats(spark.createDataFrame(rows, "doc_id long, text string"), length=50).collect(), 50)
 
 
+def test_hot_groups(spark, monkeypatch):
+    """Many different parts with the same shared bytes, dealt again and again, down to single strings."""
+    from trigrid.llm import suffixes
+
+    rng = random.Random(9)
+    text = lambda n: "".join(rng.choice("abcdefgh ") for _ in range(n))
+    core = text(140)
+    rows = [(i, text(rng.randint(0, 40)) + core[rng.randint(0, 30) : 140 - rng.randint(0, 30)] + text(rng.randint(0, 40))) for i in range(150)]
+    rows += [(300 + i, core[:70] + rng.choice("xyz") + core[71:]) for i in range(20)] + [(400, rows[0][1])] * 2
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    for hot in (0, 3, 40):
+        monkeypatch.setattr(suffixes, "HOT", hot)
+        check(rows, remove_repeats(df, length=50).collect(), 50)
+
+
 def test_edges(spark):
     got = remove_repeats(edge(spark)).collect()
     assert len(got) == len(EDGE) and "Size" in got[0].asDict()

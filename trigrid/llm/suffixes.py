@@ -3,8 +3,9 @@
 Every string of `length` bytes contains an anchor: the place of the least hash of its grams (64 bytes for 200). Equal strings have equal
 anchors at equal offsets, so strings can only repeat inside the surroundings of anchors with equal hashes. Those
 surroundings are brought together and equal ones collapsed with their count. The strings of different ones are dealt to
-parts by where they begin; parts that share the bytes which all their strings have in common meet, and their suffixes are
-sorted in two stages: only suffixes smaller than their successors are sorted directly, the others are induced by
+parts by where they begin; parts that share the bytes which all their strings have in common meet (very many that do
+are first dealt to narrower parts, down to single strings, so the work stays linear), and their suffixes are sorted in
+two stages: only suffixes smaller than their successors are sorted directly, the others are induced by
 scanning the buckets of first bytes in order. Neighbours with a common prefix of `length` bytes, at the same offset
 from their anchor, are repeats.
 """
@@ -99,8 +100,10 @@ def surroundings(text: bytes, at: int, length: int = LENGTH) -> tuple[bytes, int
     return text[at - left : at + length], left
 
 
-#: Parts that the strings around an anchor are dealt to by where they begin.
+#: Parts that the strings around an anchor are dealt to by where they begin, and those of a part of a hot group again.
 PARTS = 4
+#: Different parts with the same shared bytes that are compared in pairs of blocks; more are dealt to narrower parts.
+HOT = 2048
 
 
 def parted(text: bytes, at: int, length: int = LENGTH, parts: int = PARTS) -> Iterator[tuple[int, bytes, int, bytes]]:
@@ -115,6 +118,24 @@ def parted(text: bytes, at: int, length: int = LENGTH, parts: int = PARTS) -> It
             yield k, text[at + last : at + first + length], at - a, text[a:b]
 
 
+def stretch_of(k: int, length: int = LENGTH, parts: int = PARTS) -> tuple[int, int]:
+    """Where the strings of part k begin, first and last, from their anchor."""
+    reach = length - gram_of(length)
+    width = -(-(reach + 1) // parts)
+    return -reach + k * width, min(0, -reach + (k + 1) * width - 1)
+
+
+def narrower(block: bytes, left: int, first: int, last: int, length: int = LENGTH, parts: int = PARTS) -> Iterator[tuple[int, int, bytes, int, bytes]]:
+    """A part whose strings begin from first to last -> parts of it: (first, last, shared bytes, how much lies before
+    the anchor, the part), as parted() does. In parts of one beginning, equal shared bytes are equal strings."""
+    width = -(-(last - first + 1) // parts)
+    for f in range(first, last + 1, width):
+        e = min(last, f + width - 1)
+        a, b = max(0, f + left), min(len(block), e + left + length)
+        if b - a >= length:
+            yield f, e, block[e + left : f + left + length], left - a, block[a:b]
+
+
 def by_group(key: np.ndarray, group: np.ndarray) -> np.ndarray:
     """The order by ascending group and, in each, key. Few groups are dealt by radix."""
     order = np.argsort(key)
@@ -300,7 +321,7 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     carry = [c for c in (base.columns if carry is None else carry) if c.lower() not in OUT]
     text = F.encode(F.coalesce(F.col(text_col), F.lit("")), "UTF-8")
     mark = F.xxhash64(F.col(text_col))
-    reach = length - gram_of(length)
+    reach, hot = length - gram_of(length), HOT
 
     def find(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         import xxhash
@@ -334,7 +355,7 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
         for batch in batches:
             for lo in range(0, batch.num_rows, 64):
                 part = batch.slice(lo, 64)
-                g, node, h, around, left, block = [], [], [], [], [], []
+                g, node, h, around, left, block, number = [], [], [], [], [], [], []
                 for t, places in zip(part["t"].to_pylist(), part["places"].to_pylist(), strict=True):
                     for p in places:
                         for k, shared, before, piece in parted(t, p["at"], length):
@@ -344,15 +365,17 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
                             around.append(p["around"])
                             left.append(before)
                             block.append(piece)
-                yield pa.RecordBatch.from_arrays([pa.array(np.array(g, np.uint64).view(np.int64)), pa.array(np.array(node, np.uint64).view(np.int64)), pa.array(h, pa.int64()), pa.array(around, pa.int64()), pa.array(left, pa.int32()), pa.array(block, pa.binary())], names=["g", "node", "h", "around", "left", "block"])
+                            number.append(k)
+                yield pa.RecordBatch.from_arrays([pa.array(np.array(g, np.uint64).view(np.int64)), pa.array(np.array(node, np.uint64).view(np.int64)), pa.array(h, pa.int64()), pa.array(around, pa.int64()), pa.array(left, pa.int32()), pa.array(block, pa.binary()), pa.array(number, pa.int8())], names=["g", "node", "h", "around", "left", "block", "k"])
 
     # their parts: those that another one has as a whole repeat; different ones with the same shared bytes are sorted
-    parts = materialise(met.mapInArrow(cut, "g bigint, node bigint, h bigint, around bigint, left int, block binary"))
+    parts = materialise(met.mapInArrow(cut, "g bigint, node bigint, h bigint, around bigint, left int, block binary, k tinyint"))
     nodes = materialise(parts.groupBy("g", "node").agg(F.min("around").alias("lo"), F.max("around").alias("hi")))
     groups = materialise(nodes.groupBy("g").agg(F.count("*").alias("n")).where("n > 1"))
     first = nodes.join(groups, "g").select(F.col("g").alias("g2"), F.col("node").alias("node2"), "lo", "n")
     met_parts = parts.join(first, (F.col("g") == F.col("g2")) & (F.col("node") == F.col("node2")) & (F.col("around") == F.col("lo")))
-    blocks = block_pairs(met_parts.select("g", "node", "n", "left", "block"))
+    stretches = [stretch_of(k, length) for k in range(PARTS)]
+    met_parts = met_parts.select("g", "node", "n", "left", "block", *[F.element_at(F.array(*[F.lit(x[i]) for x in stretches]), F.col("k") + 1).alias(c) for i, c in enumerate(("first", "last"))])
 
     def sort(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for t, starts in units(batches):
@@ -373,7 +396,47 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
                 yield pa.RecordBatch.from_arrays([pa.array(np.asarray(u["g"].combine_chunks())[of]), pa.array(np.asarray(u["node"].combine_chunks())[of]), pa.array(spans[:, 0]), pa.array(spans[:, 1])], names=["g", "node", "a", "b"])
                 k = end
 
-    partly = materialise(dealt(blocks.select("g", "bi", "bj", "node", "left", "block")).mapInArrow(sort, "g bigint, node bigint, a bigint, b bigint").distinct())
+    def cut_again(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        import xxhash
+
+        for batch in batches:
+            for lo in range(0, batch.num_rows, 1024):
+                part = batch.slice(lo, 1024)
+                of, g, node, left, block, first, last = [], [], [], [], [], [], []
+                for i, (t, before, above, k, m) in enumerate(zip(*[part[c].to_pylist() for c in ("block", "left", "g", "first", "last")], strict=True)):
+                    for f, e, shared, at, piece in narrower(t, before, k, m, length):
+                        of.append(i)
+                        first.append(f)
+                        last.append(e)
+                        g.append(xxhash.xxh3_64_intdigest(shared, seed=(above + f) % (1 << 64)))
+                        node.append(xxhash.xxh3_64_intdigest(piece, seed=at % (1 << 64)))
+                        left.append(at)
+                        block.append(piece)
+                i = pa.array(of, pa.int64())
+                yield pa.RecordBatch.from_arrays([part["g"].take(i), part["node"].take(i), pa.array(np.array(g, np.uint64).view(np.int64)), pa.array(np.array(node, np.uint64).view(np.int64)), pa.array(left, pa.int32()), pa.array(block, pa.binary()), pa.array(first, pa.int32()), pa.array(last, pa.int32())], names=["up_g", "up_node", "g", "node", "left", "block", "first", "last"])
+
+    def repeated(found: DataFrame) -> DataFrame:
+        """found (g, node, n, left, block, first, last), n the different parts of g -> (g, node, a, b): what repeats, from
+        the anchor."""
+        found = materialise(found)
+        cold = block_pairs(found.where(F.col("n") <= hot))
+        out = materialise(dealt(cold.select("g", "bi", "bj", "node", "left", "block")).mapInArrow(sort, "g bigint, node bigint, a bigint, b bigint").distinct())
+        many = found.where(F.col("n") > hot)
+        if many.isEmpty():
+            drop(found)
+            return out
+        again = materialise(many.dropDuplicates(["g", "node"]).select("g", "node", "left", "block", "first", "last").mapInArrow(cut_again, "up_g bigint, up_node bigint, g bigint, node bigint, left int, block binary, first int, last int"))
+        drop(found)
+        below = again.groupBy("g", "node").agg(F.count("*").alias("many"), *[F.first(c).alias(c) for c in ("left", "block", "first", "last")])
+        below = materialise(below.withColumn("b", (F.octet_length("block") - F.col("left")).cast("long")))
+        of = below.groupBy("g").agg(F.count("*").alias("n")).where("n > 1")
+        inner = repeated(below.join(of, "g").select("g", "node", "n", "left", "block", "first", "last"))
+        inner = inner.unionByName(below.where("many > 1").select("g", "node", (-F.col("left")).cast("long").alias("a"), "b"))
+        inner = inner.select(F.col("g").alias("g2"), F.col("node").alias("node2"), "a", "b")
+        inner = again.select("up_g", "up_node", "g", "node").join(inner, (F.col("g") == F.col("g2")) & (F.col("node") == F.col("node2")))
+        return out.unionByName(inner.select(F.col("up_g").alias("g"), F.col("up_node").alias("node"), "a", "b"))
+
+    partly = repeated(met_parts)
     as_whole = parts.join(nodes.where("lo <> hi").select(F.col("g").alias("g2"), F.col("node").alias("node2")), (F.col("g") == F.col("g2")) & (F.col("node") == F.col("node2")))
     as_whole = as_whole.select("h", "around", (-F.col("left")).cast("long").alias("a"), (F.octet_length("block") - F.col("left")).cast("long").alias("b"))
     in_part = parts.join(partly.select(F.col("g").alias("g3"), F.col("node").alias("node3"), "a", "b"), (F.col("g") == F.col("g3")) & (F.col("node") == F.col("node3"))).select("h", "around", "a", "b")
