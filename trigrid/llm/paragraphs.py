@@ -96,10 +96,10 @@ def paragraphs(texts: list[bytes], n: int = N_GRAM) -> dict[str, np.ndarray]:
 
 
 def nodes_of(p: dict[str, np.ndarray]) -> np.ndarray:
-    """A hash for each paragraph's n-grams, whatever their order."""
+    """An even hash for each paragraph's n-grams, whatever their order."""
     if not len(p["first"]):
         return np.zeros(0, np.int64)
-    return _mix(np.add.reduceat(_mix(p["grams"] ^ np.uint64(0x5851F42D4C957F2D)), p["first"])).view(np.int64)
+    return (_mix(np.add.reduceat(_mix(p["grams"] ^ np.uint64(0x5851F42D4C957F2D)), p["first"])) << np.uint64(1)).view(np.int64)
 
 
 def band_keys(p: dict[str, np.ndarray], rows: int, which: range, alone: int = 0, seed: int = 12) -> tuple[np.ndarray, np.ndarray]:
@@ -243,25 +243,27 @@ def dedup_paragraphs(docs: DataFrame, id_col: str = "doc_id", text_col: str = "t
                     order = np.argsort(k, kind="stable")  # equal paragraphs of a lot travel as one row, nearly always
                     k, node = k[order], node[order]
                     new = np.flatnonzero(np.concatenate([[True], (k[1:] != k[:-1]) | (node[1:] != node[:-1])])) if len(k) else np.zeros(0, np.int64)
-                    yield pa.RecordBatch.from_arrays([pa.array(k[new]), pa.array(node[new]), pa.array(np.diff(np.append(new, len(k))).astype(np.int32))], names=["g", "node", "many"])
+                    several = np.diff(np.append(new, len(k))) > 1  # said by the last bit, which is 0 in a node
+                    yield pa.RecordBatch.from_arrays([pa.array(k[new]), pa.array(node[new] | several)], names=["g", "node"])
 
         return keys
 
     def collide(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for t, starts in units(batches, ("g",)):
-            node, many = np.asarray(t["node"].combine_chunks()), np.asarray(t["many"].combine_chunks())
-            size = np.diff(starts)
-            keep = np.repeat(np.add.reduceat(many, starts[:-1]) > 1, size)
-            least = np.repeat(np.minimum.reduceat(node, starts[:-1]), size)
-            g = np.asarray(t["g"].combine_chunks())
-            out = np.stack([g[keep], node[keep], least[keep]])
-            out = np.unique(out, axis=1) if keep.any() else out
-            yield pa.RecordBatch.from_arrays([pa.array(x) for x in out], names=["g", "node", "least"])
+            g, said = np.asarray(t["g"].combine_chunks()), np.asarray(t["node"].combine_chunks())
+            node, size = said & ~1, np.diff(starts)
+            keep = np.flatnonzero(np.repeat((size > 1) | np.bitwise_or.reduceat(said & 1, starts[:-1]).astype(bool), size))
+            least = np.repeat(np.minimum.reduceat(node, starts[:-1]), size)[keep]
+            g, node = g[keep], node[keep]
+            order = np.lexsort((node, g))
+            g, node, least = g[order], node[order], least[order]
+            new = np.flatnonzero(np.concatenate([[True], (g[1:] != g[:-1]) | (node[1:] != node[:-1])])) if len(g) else keep
+            yield pa.RecordBatch.from_arrays([pa.array(x[new]) for x in (g, node, least)], names=["g", "node", "least"])
 
     met = []
     for k in range(PASSES):
         which = range(k * bands // PASSES, (k + 1) * bands // PASSES)
-        keys = src.select("t").mapInArrow(keys_of(which), "g bigint, node bigint, many int")
+        keys = src.select("t").mapInArrow(keys_of(which), "g bigint, node bigint")
         met.append(materialise(keys.repartition(n_parts, "g").sortWithinPartitions("g").mapInArrow(collide, "g bigint, node bigint, least bigint")))
     every = met[0]
     for x in met[1:]:

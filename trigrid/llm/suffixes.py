@@ -440,7 +440,8 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     as_whole = parts.join(nodes.where("lo <> hi").select(F.col("g").alias("g2"), F.col("node").alias("node2")), (F.col("g") == F.col("g2")) & (F.col("node") == F.col("node2")))
     as_whole = as_whole.select("h", "around", (-F.col("left")).cast("long").alias("a"), (F.octet_length("block") - F.col("left")).cast("long").alias("b"))
     in_part = parts.join(partly.select(F.col("g").alias("g3"), F.col("node").alias("node3"), "a", "b"), (F.col("g") == F.col("g3")) & (F.col("node") == F.col("node3"))).select("h", "around", "a", "b")
-    runs = as_whole.unionByName(in_part).groupBy("h", "around").agg(joined(F.array_sort(F.collect_set(F.struct("a", "b")))).alias("rs"))
+    # written, so that Spark can split what one surrounding brings to the join
+    runs = materialise(as_whole.unionByName(in_part).groupBy("h", "around").agg(joined(F.array_sort(F.collect_set(F.struct("a", "b")))).alias("rs")))
     # surroundings that are there twice repeat as a whole; others where a part or a neighbour in the order says so
     twice = one.where("many > 1").select(F.col("h").alias("h2"), F.col("around").alias("a2"))
     whole = hits.join(twice, (F.col("h") == F.col("h2")) & (F.col("around") == F.col("a2")), "left").where("NOT mixed OR h2 IS NOT NULL")
