@@ -25,7 +25,7 @@ OUT = ("keep_id", "group_size", "kept", "text_sha256")
 #: Leading characters in the range key; the hash after them makes the key as good as the whole text.
 LEAD = 64
 #: Bytes of one text's rows that a task holds before it passes them on as a run of their own.
-HELD = 1 << 26
+HELD = 1 << 24
 
 
 def normalised(text: str):

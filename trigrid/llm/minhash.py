@@ -22,6 +22,8 @@ from .groups import BLOCK, block_pairs, dealt, forest, rows_of, units
 from .scratch import lean, materialise, without
 
 N_GRAM, THRESHOLD, RECALL = 5, 0.8, 0.9999
+#: Bytes of texts that are hashed in one go, about; a worker's memory is some fifty times that.
+LOT = 1 << 19
 #: Bytes of texts that one block of a candidate class has, about; classes of long texts are cut into more blocks.
 BLOCK_BYTES = 1 << 26
 _SPACE = np.zeros(256, bool)
@@ -144,7 +146,7 @@ def signed(rows_df: DataFrame, n: int, bands: int, rows: int) -> DataFrame:
             lo = 0
             while lo < len(texts):
                 hi, size = lo, 0
-                while hi < len(texts) and (hi == lo or size + len(texts[hi]) < (1 << 21)):
+                while hi < len(texts) and (hi == lo or size + len(texts[hi]) < LOT):
                     size += len(texts[hi])
                     hi += 1
                 part = batch.slice(lo, hi - lo)

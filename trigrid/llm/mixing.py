@@ -93,7 +93,8 @@ def mix(docs: DataFrame, id_col: str = "doc_id", source_col: str = "source", tex
         t = without(docs, *[c for c in OUT if c != "size"])
     columns = t.columns
     t = t.withColumns({"_tg_src": F.col(source_col), "_tg_id": F.col(id_col).cast("string"), "_tg_h": F.xxhash64(id_col, source_col, "size", *([text_col] if text_col else []))})
-    light = materialise(t.select("_tg_src", "_tg_id", "size", "_tg_h"))
+    t = materialise(t)  # so that words are counted once
+    light = t.select("_tg_src", "_tg_id", "size", "_tg_h")
     goals = targets(light.groupBy(F.col("_tg_src").alias("source")).agg(F.sum("size").cast("double").alias("source_size")), weights, share, most)
     r = F.when(F.col("source_size") > 0, F.col("target") / F.col("source_size")).otherwise(F.lit(0.0))
     plan = goals.withColumn("_tg_whole", F.floor(r).cast("int")).withColumn("_tg_p", r - F.col("_tg_whole")).withColumn("_tg_rest", F.col("target") - F.col("_tg_whole") * F.col("source_size"))
@@ -110,7 +111,6 @@ def mix(docs: DataFrame, id_col: str = "doc_id", source_col: str = "source", tex
         return x.withColumn("_tg_at", F.floor(F.col("_tg_q") * F.lit(float(1 << ALL_BITS))).cast("long"))
 
     rows = materialise(ranked(light, plan.select("_tg_s", "_tg_p", "_tg_rest")).where("_tg_q IS NOT NULL").select("_tg_src", "size", "_tg_h", "_tg_k", "_tg_q", "_tg_at", "_tg_rest"))
-    drop(light)
     # the cell of rank in which each source fills up; sources that never do have none
     shift, inside, cut = ALL_BITS, rows.withColumn("_tg_below", F.lit(0).cast("long")), None
     while cut is None or (shift > 0 and (cut.agg(F.max("in_cell")).first()[0] or 0) > FEW):

@@ -122,11 +122,6 @@ def encoder(path: str):
     """
     if path in _encoders:
         return _encoders[path]
-    import tiktoken
-    from tokenizers import Tokenizer
-
-    own = Tokenizer.from_file(path)
-    own.encode_special_tokens = True
     with open(path, encoding="utf-8") as f:
         spec = json.load(f)
     vocab = spec["model"]["vocab"]
@@ -142,11 +137,17 @@ def encoder(path: str):
         back = {chr(b): b for b in shown} | {chr(256 + k): b for k, b in enumerate(hidden)}
         ranks = {bytes(back[c] for c in token): i for token, i in vocab.items() if token not in special}
         split = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
+        import tiktoken
+
         fast = tiktoken.Encoding("own", pat_str=split, mergeable_ranks=ranks, special_tokens={})
 
         def run(text: str) -> np.ndarray:
             return np.array(fast.encode_ordinary(text), np.uint32)
     else:
+        from tokenizers import Tokenizer  # only here: both at once double a worker's memory
+
+        own = Tokenizer.from_file(path)
+        own.encode_special_tokens = True
 
         def run(text: str) -> np.ndarray:
             return np.array(own.encode(text, add_special_tokens=False).ids, np.uint32)
