@@ -270,3 +270,23 @@ def unit_counts(links, u: pa.Table, step: int = 256) -> np.ndarray:
 def op1_embedding_near_dedup(spark, sf_dir: str) -> DataFrame:
     t = near_vectors(spark.read.parquet(f"{sf_dir}/embeddings.parquet").select("vec_id", "embedding"))
     return t.select("vec_id", "n_links", "component_id", "kept")
+
+
+OP1_SQL = r"""
+WITH RECURSIVE v AS (
+  SELECT vec_id, row_number() OVER () AS r, list_transform(embedding, lambda x: x::DOUBLE) AS e FROM embeddings
+), ok AS (
+  SELECT *, sqrt(list_sum(list_transform(e, lambda x: x * x))) AS norm FROM v
+  WHERE e IS NOT NULL AND len(e) > 0 AND len(list_filter(e, lambda x: x IS NULL OR NOT isfinite(x))) = 0 AND len(list_filter(e, lambda x: x <> 0)) > 0
+), link AS (
+  SELECT a.r AS a, b.r AS b FROM ok a JOIN ok b ON a.r <> b.r AND len(a.e) = len(b.e) AND list_dot_product(a.e, b.e) / a.norm / b.norm >= 0.9
+), reach AS (
+  SELECT r AS a, r AS b FROM v UNION SELECT reach.a, link.b FROM reach JOIN link ON reach.b = link.a
+), least AS (
+  SELECT a, min(v.vec_id) AS component_id FROM reach JOIN v ON v.r = b GROUP BY a
+), many AS (
+  SELECT a, count(*) AS n FROM link GROUP BY a
+)
+SELECT vec_id, coalesce(n, 0)::BIGINT AS n_links, component_id, vec_id IS NOT DISTINCT FROM component_id AS kept
+FROM v JOIN least ON least.a = r LEFT JOIN many ON many.a = r
+"""

@@ -295,3 +295,26 @@ def jaccard_join(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
 
 def op9_ngram_jaccard_join(spark, sf_dir: str) -> DataFrame:
     return jaccard_join(spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text"), carry=["doc_id"])
+
+
+OP9_SQL = r"""
+WITH RECURSIVE d AS (
+  SELECT doc_id, row_number() OVER () AS r, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS w FROM documents
+), g AS (
+  SELECT DISTINCT r, unnest(CASE WHEN len(w) < 5 THEN [array_to_string(w, ' ')] ELSE list_transform(range(1, len(w) - 3), lambda i: array_to_string(w[i:i + 4], ' ')) END) AS gram FROM d WHERE len(w) > 0
+), n AS (
+  SELECT r, count(*) AS n FROM g GROUP BY r
+), meet AS (
+  SELECT x.r AS a, y.r AS b, count(*) AS k FROM g x JOIN g y ON x.gram = y.gram AND x.r <> y.r GROUP BY 1, 2
+), link AS (
+  SELECT a, b FROM meet JOIN n x ON x.r = a JOIN n y ON y.r = b WHERE k >= 0.8 * (x.n + y.n - k) - 1e-9
+), reach AS (
+  SELECT r AS a, r AS b FROM d UNION SELECT reach.a, link.b FROM reach JOIN link ON reach.b = link.a
+), least AS (
+  SELECT a, min(d.doc_id) AS class_id FROM reach JOIN d ON d.r = b GROUP BY a
+), many AS (
+  SELECT a, count(*) AS n FROM link GROUP BY a
+)
+SELECT doc_id, class_id, coalesce(n, 0)::BIGINT AS n_links, len(w) = 0 OR doc_id IS NOT DISTINCT FROM class_id AS kept
+FROM d JOIN least ON least.a = r LEFT JOIN many ON many.a = r
+"""

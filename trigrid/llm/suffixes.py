@@ -489,3 +489,29 @@ def op2_suffix_array_dedup(spark, sf_dir: str) -> DataFrame:
     t = remove_repeats(spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text"), carry=["doc_id"])
     removed = F.aggregate("spans", F.lit(0).cast("long"), lambda x, s: x + s["end"] - s["start"])
     return t.select("doc_id", (F.octet_length("kept_bytes") + removed).alias("n_bytes"), removed.alias("n_removed"), F.size("spans").cast("long").alias("n_spans"), F.sha2("kept_bytes", 256).alias("kept_sha256"))
+
+
+#: Bytes as hexadecimal digits: string i of 200 bytes is the 400 digits from 2 * i on.
+OP2_SQL = r"""
+WITH d AS (
+  SELECT doc_id, row_number() OVER () AS r, hex(encode(coalesce(text, ''))) AS x FROM documents
+), s AS (
+  SELECT r, i, md5(substr(x, 2 * i + 1, 400)) AS h FROM d, range(0, greatest(0, length(x) // 2 - 199)) AS t(i)
+), hot AS (
+  SELECT h FROM s GROUP BY h HAVING count(*) > 1
+), hit AS (
+  SELECT r, i FROM s WHERE h IN (SELECT h FROM hot)
+), run AS (
+  SELECT r, min(i) AS a, max(i) + 200 AS b FROM (
+    SELECT *, sum(fresh) OVER (PARTITION BY r ORDER BY i ROWS UNBOUNDED PRECEDING) AS k FROM (
+      SELECT *, CASE WHEN i <= lag(i) OVER (PARTITION BY r ORDER BY i) + 200 THEN 0 ELSE 1 END AS fresh FROM hit)) GROUP BY r, k
+), gap AS (
+  SELECT r, a, b, coalesce(lag(b) OVER (PARTITION BY r ORDER BY a), 0) AS before FROM run
+), cut AS (
+  SELECT r, sum(b - a)::BIGINT AS n_removed, count(*) AS n_spans, max(b) AS last, string_agg(substr(x, 2 * before + 1, 2 * (a - before)), '' ORDER BY a) AS head
+  FROM gap JOIN d USING (r) GROUP BY r
+)
+SELECT doc_id, (length(x) // 2)::BIGINT AS n_bytes, coalesce(n_removed, 0)::BIGINT AS n_removed, coalesce(n_spans, 0)::BIGINT AS n_spans,
+       sha256(unhex(coalesce(head, '') || substr(x, 2 * coalesce(last, 0) + 1))) AS kept_sha256
+FROM d LEFT JOIN cut USING (r)
+"""
