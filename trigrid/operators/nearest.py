@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 from ..functions import address as A
 from ..functions.geometry import cell_of, centre, triangles, unit
 from ..solid import EARTH_KM
+from .lines import _xyz
 
 
 def _radius(level: int) -> float:
@@ -25,39 +26,42 @@ def nearest(points: DataFrame, places: DataFrame, key: str, k: int = 1, lon: str
 
     Points and places are counted by cell. For each cell with points, the coarsest first, places are sought in all
     cells of the level within reach of it: whoever has k of them nearer than the reach is done, the others go on one
-    level up, where the reach is twice as wide. At level 0 all places are in reach. No point meets all places unless
+    level up, where the reach, that of a cell, is twice as wide. At level 0 all places are in reach. No point meets all places unless
     places are so few that they are its neighbours. Points without a position give no row.
     """
     n = places.count()
-    top = max(0, min(12, int(math.log(max(1, n / max(1, 4 * k)) / 20 + 1e-9, 4)) if n > 80 * k else 0))
+    # the level whose reach holds about three times k places if they are spread evenly
+    top = max(0, min(14, int(math.log2(_radius(0) / math.sqrt(12 * k / max(n, 1)))))) if n > 12 * k else 0
     p = points.where(F.col(lon).isNotNull() & F.col(lat).isNotNull()).withColumn("_row", F.monotonically_increasing_id())
     s = places.select(F.col(key).alias("_key"), F.col(lon).cast("double").alias("_x"), F.col(lat).cast("double").alias("_y")).where("_x IS NOT NULL AND _y IS NOT NULL")
+    s = s.withColumns(dict(zip(("_u", "_v", "_w"), _xyz("_x", "_y"), strict=True)))
     names = [c for c in points.columns if c not in (key, "km")]
     done = None
-    left = p.withColumn("_cell", cell_of(F.col(lon), F.col(lat), top)).where("_cell IS NOT NULL")
+    left = p.withColumn("_cell", cell_of(F.col(lon), F.col(lat), top)).where("_cell IS NOT NULL").withColumns(dict(zip(("_pu", "_pv", "_pw"), _xyz(lon, lat), strict=True)))
     for level in range(top, -1, -1):
-        reach = math.pi if level == 0 else 2 * _radius(level)
+        reach = math.pi if level == 0 else _radius(level)
         at = s.withColumn("_c", cell_of("_x", "_y", level))
         # which cells with points look into which cells with places: both few, by their centres
         mine = left.select(A.up("_cell", level).alias("_mine")).distinct()
         theirs = at.select("_c").distinct()
         pairs = _within(mine, theirs, level, reach + 2 * _radius(level) if level else math.pi)
         t = left.withColumn("_mine", A.up("_cell", level)).join(pairs, "_mine").join(at, "_c")
-        a, b = (F.radians(F.col(c)) for c in (lon, lat))
-        x, y = F.radians("_x"), F.radians("_y")
-        dot = F.cos(b) * F.cos(a) * F.cos(y) * F.cos(x) + F.cos(b) * F.sin(a) * F.cos(y) * F.sin(x) + F.sin(b) * F.sin(y)
+        dot = F.col("_pu") * F.col("_u") + F.col("_pv") * F.col("_v") + F.col("_pw") * F.col("_w")
         t = t.withColumn("_far", F.acos(F.greatest(F.lit(-1.0), F.least(F.lit(1.0), dot))))
         if k == 1:
             t = t.groupBy("_row", *names, "_cell").agg(F.min(F.struct("_far", "_key")).alias("_best")).select("_row", *names, "_cell", "_best.*", F.lit(1).alias("nth"))
         else:
             t = t.withColumn("nth", F.row_number().over(Window.partitionBy("_row").orderBy("_far", "_key"))).where(f"nth <= {k}")
         sure = t.where(F.col("_far") <= reach) if level else t
+        sure = sure.persist()  # read twice, and by every level above; lost blocks are made again
         full = sure.groupBy("_row").agg(F.count("*").alias("_n")).where(f"_n >= {k}").select(F.col("_row").alias("_r"))
         found = sure.join(full, F.col("_row") == F.col("_r"), "left_semi") if level else sure
         found = found.select(*names, F.col("_key").alias(key), (F.col("_far") * EARTH_KM).alias("km"), *(["nth"] if k > 1 else []))
         done = found if done is None else done.unionByName(found)
         if level:
-            left = left.join(full, F.col("_row") == F.col("_r"), "left_anti")
+            left = left.join(full, F.col("_row") == F.col("_r"), "left_anti").persist()
+            if left.isEmpty():
+                break
     return done
 
 
