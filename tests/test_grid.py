@@ -227,7 +227,7 @@ def test_hilbert_ranges_whole(spark):
     assert {k % (1 << 64) for k in got} == {k % (1 << 64) for k in want}
 
 
-@pytest.mark.parametrize("name", ["locate_points", "flagship_cell_totals"])
+@pytest.mark.parametrize("name", ["locate_points", "flagship_cell_totals", "windowed_cell_counts"])
 def test_poles_as_in_the_sql(spark, tmp_path, name):
     """Events at the poles, within the tolerance of cells' edges, go where the query's SQL has them."""
     from trigrid.plans import queries as Q

@@ -20,9 +20,9 @@ def _late(points: DataFrame, ts: str, late: str) -> DataFrame:
     return points.withWatermark(ts, late) if points.isStreaming else points
 
 
-def cell_counts(points: DataFrame, ts: str = "ts", lon: str = "lon", lat: str = "lat", value: str | None = None, level: int = 9, roll: int = 6, width: str = "1 hour", slide: str | None = None, late: str = "10 minutes") -> DataFrame:
+def cell_counts(points: DataFrame, ts: str = "ts", lon: str = "lon", lat: str = "lat", value: str | None = None, level: int = 9, roll: int = 6, width: str = "1 hour", slide: str | None = None, late: str = "10 minutes", by_sign: bool = False) -> DataFrame:
     """Counts (and sums) by window and cell, for streams (with a watermark) and tables alike."""
-    t = _late(points, ts, late).withColumn("cell", up(cell_of(F.col(lon), F.col(lat), level), roll))
+    t = _late(points, ts, late).withColumn("cell", up(cell_of(F.col(lon), F.col(lat), level, by_sign), roll))
     g = t.groupBy(F.window(ts, width, slide) if slide else F.window(ts, width), "cell")
     return g.agg(F.count("*").alias("n"), *([F.sum(value).alias("total")] if value else []))
 
