@@ -111,3 +111,16 @@ def test_command_line(spark, tmp_path):
     (tmp_path / "p.csv").write_text("lon,lat\n13.4,52.5\nx,1\n")
     run("file", str(tmp_path / "p.csv"), str(tmp_path / "out"), "9")
     assert sorted((r["cell"] for r in spark.read.parquet(str(tmp_path / "out")).collect()), key=str)[-1] is None
+
+
+def test_refinement_next_to_edges(spark):
+    """Points nearer to an edge than a step of a part's grid are decided by the polygon itself."""
+    ring = [[[-10.0, 40.0], [0.0, 40.017], [10.0, 40.0], [10.0, 50.0], [-10.0, 50.0], [-10.0, 40.0]]]
+    t = spark.createDataFrame([(1, ring)], "k int, rings array<array<array<double>>>")
+    x = np.linspace(-9.9, 9.9, 150)
+    y = 40.017 - 0.0017 * np.abs(x) + np.tile([-3e-6, -1e-7, 1e-7], 50)
+    p = spark.createDataFrame([(float(a), float(b)) for a, b in zip(x, y, strict=True)], "lon double, lat double").withColumn("cell", G.cell_of("lon", "lat", 5))
+    zones = refine.refinement(shapes.cover(t, 5, ("k",)), t, "k", exact=True)
+    got = {(r["lon"], r["lat"]) for r in refine.refined(p, zones, "k").where("k = 1").collect()}
+    want = {(float(a), float(b)) for a, b, v in zip(x, y, shapes.Shape(ring).has_turned(x, y), strict=True) if v}
+    assert got == want and len(want) == 50

@@ -52,11 +52,12 @@ def parts_in(shape: Shape, box: np.ndarray) -> list[list[list[int]]]:
     return out
 
 
-def refinement(cells: DataFrame, shapes: DataFrame, key: str) -> DataFrame:
+def refinement(cells: DataFrame, shapes: DataFrame, key: str, exact: bool = False) -> DataFrame:
     """(cell, key) pairs with the shapes (key, rings) -> (cell, key, share, parts), a row for each polygon that comes into
-    the cell's box; share: the planar share of the cell; parts null: all of it. Pairs without a shape give no rows."""
+    the cell's box; share: the planar share of the cell; parts null: all of it. Pairs without a shape give no rows. With
+    exact, the polygon's own rings come along, which decide the points that the grid's steps cannot."""
     t = cells.select("cell", key).distinct().join(shapes.select(key, "rings"), key)
-    schema = T.StructType([t.schema["cell"], t.schema[key], T.StructField("share", T.DoubleType()), T.StructField("parts", T.ArrayType(T.ArrayType(T.ArrayType(T.IntegerType()))))])
+    schema = T.StructType([t.schema["cell"], t.schema[key], T.StructField("share", T.DoubleType()), T.StructField("parts", T.ArrayType(T.ArrayType(T.ArrayType(T.IntegerType())))), *([t.schema["rings"]] if exact else [])])
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
@@ -66,6 +67,8 @@ def refinement(cells: DataFrame, shapes: DataFrame, key: str) -> DataFrame:
             inner = [parts_in(s, x) for s, x in zip(own, boxes(cells), strict=True)]
             t = pd.DataFrame({"cell": cells, key: b[key].to_numpy(), "share": shared, "parts": inner})
             t["parts"] = [None if len(p) == 1 and sorted(p[0]) == WHOLE else p for p in inner]
+            if exact:
+                t["rings"] = b["rings"].to_numpy()
             yield t[[bool(p) for p in inner]]
 
     return t.mapInPandas(run, schema)
@@ -82,28 +85,49 @@ def _even_odd(x: float, y: float, rings) -> bool:
     return inside
 
 
+def _close(x: float, y: float, rings) -> bool:
+    """Whether a point is within a step and a half of an edge, which rounding to the grid can move past it."""
+    for ring in rings:
+        p = np.array([list(q) for q in ring], float)
+        d, to = np.roll(p, -1, 0) - p, np.array([x, y]) - p
+        along = np.clip((to * d).sum(1) / np.maximum((d * d).sum(1), 1), 0, 1)
+        if (((to - along[:, None] * d) ** 2).sum(1) <= 1.5**2).any():
+            return True
+    return False
+
+
 def refined(points: DataFrame, zones: DataFrame, key: str, lon: str = "lon", lat: str = "lat", cell: str = "cell") -> DataFrame:
     """points (lon, lat, cell) with covered (the cell is refined) and the key of its smallest zone that holds the
     point, null where none does. Ties of area go to the smaller key. Each row of points comes back once; its columns
-    named like the new ones give way. Null places or cells are in no zone."""
-    z = zones.groupBy(F.col("cell").alias("_z")).agg(F.array_sort(F.collect_list(F.struct("share", F.col(key).alias("key"), "parts"))).alias("_zones"))
+    named like the new ones give way. Null places or cells are in no zone. Where zones have rings, these decide points
+    next to an edge of a part."""
+    exact = "rings" in zones.columns
+    z = zones.groupBy(F.col("cell").alias("_z")).agg(F.array_sort(F.collect_list(F.struct("share", F.col(key).alias("key"), "parts", *(["rings"] if exact else [])))).alias("_zones"))
 
     @F.pandas_udf("int")
-    def first(x: pd.Series, y: pd.Series, c: pd.Series, inner: pd.Series) -> pd.Series:
+    def first(x: pd.Series, y: pd.Series, c: pd.Series, inner: pd.Series, own: pd.Series) -> pd.Series:
         on = inner.notna().to_numpy()
         box = np.zeros((len(c), 4))
         box[on] = boxes(c[on].to_numpy(np.int64))
         at = []
-        for lon, lat, (west, south, east, north), zs in zip(x, y, box, inner, strict=True):
+        for lon, lat, (west, south, east, north), zs, polygons in zip(x, y, box, inner, own, strict=True):
             hit = None
             if zs is not None:
+                real = lon
                 lon += 360 * np.round(((west + east) / 2 - lon) / 360)
                 gx, gy = (lon - west) / (east - west) * STEPS, (lat - south) / (north - south) * STEPS
-                hit = next((k for k, rings in enumerate(json.loads(zs)) if rings is None or _even_odd(gx, gy, rings)), None)
+                for k, rings in enumerate(json.loads(zs)):
+                    if rings is not None and polygons is not None and _close(gx, gy, rings):
+                        held = Shape(json.loads(polygons)[k]).has_turned(np.array([real]), np.array([lat]))[0]
+                    else:
+                        held = rings is None or _even_odd(gx, gy, rings)
+                    if held:
+                        hit = k
+                        break
             at.append(hit)
         return pd.Series(pd.array(at, "Int32"))
 
     own = [c for c in points.columns if c.lower() not in ("covered", key.lower())]
     t = points.select(*[F.col(f"`{c}`") for c in own]).join(z, F.col(cell) == F.col("_z"), "left")
-    t = t.withColumn("_at", first(F.col(lon).cast("double"), F.col(lat).cast("double"), F.col(cell), F.to_json(F.col("_zones")["parts"])))  # as text: workers crash on batches of nested nulls
+    t = t.withColumn("_at", first(F.col(lon).cast("double"), F.col(lat).cast("double"), F.col(cell), F.to_json(F.col("_zones")["parts"]), F.to_json(F.col("_zones")["rings"]) if exact else F.lit(None).cast("string")))  # as text: workers crash on batches of nested nulls
     return t.select(*[F.col(f"`{c}`") for c in own], F.col("_z").isNotNull().alias("covered"), F.get("_zones", F.col("_at"))["key"].alias(key))
