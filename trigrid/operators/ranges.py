@@ -47,12 +47,23 @@ def _joined(t: DataFrame, small: DataFrame, on: list[str]) -> DataFrame:
     return t.join(s, same, "left").drop(*[f"_j{k}" for k in range(len(on))])
 
 
+#: The level of the cells that are a stretch of cover_ranges each.
+APART = 4
+
+
 def cover_ranges(cells: DataFrame, cell: str, keys: tuple[str, ...] = ()) -> DataFrame:
-    """Cells of any levels in any order -> merged subtree intervals (lo, hi); faces never merge. A stretch is a cell of
-    level 4 at most."""
-    s = A.subtree(cell)
-    t = cells.select(*keys, A.face_of(cell).alias("face"), s["lo"].alias("lo"), s["hi"].alias("hi"))
-    return merge(t, "lo", "hi", (*keys, "face"), stretch=1 << 51).select(*keys, "face", "lo", "hi")
+    """Cells of any levels in any order, some of them repeated -> merged subtree intervals (lo, hi); faces never merge.
+
+    Subtree intervals lie one in another or apart, with numbers between them. So the merged ones are those that no other
+    holds: in the order of each stretch, a cell of level 4, those that reach past all before. A coarser cell comes to
+    each stretch it covers and stays in its first.
+    """
+    s, stretch = A.subtree(cell), lambda c: F.shiftright(c, 59 - 2 * APART)
+    t = cells.select(*keys, s["lo"].alias("lo"), s["hi"].alias("hi"))
+    t = t.select("*", F.explode_outer(F.sequence(stretch("lo"), stretch("hi"))).alias("_part"))
+    before = Window.partitionBy(*keys, "_part").orderBy("lo").rowsBetween(Window.unboundedPreceding, -1)
+    t = t.withColumn("_far", F.max("hi").over(before)).where(F.coalesce(F.col("hi") > F.col("_far"), F.lit(True)))
+    return t.where(F.col("_part").eqNullSafe(stretch("lo"))).select(*keys, A.face_of("lo").alias("face"), "lo", "hi")
 
 
 def runs(t: DataFrame, start: str, stop: str, state: list[str], keys: tuple[str, ...] = (), stretch: int = STRETCH) -> DataFrame:
